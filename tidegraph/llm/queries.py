@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import bpe, chat, packing
+from tidegraph.llm import bpe, chat, html, langid, packing
 from tidegraph.llm.common import table
 
 
@@ -17,6 +17,20 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; learned from those whose remainder is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(langid.remainder("doc_id", 4) != 2))
+    out = langid.predict(docs, model)
+    return out.select("doc_id", (langid.remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    out = html.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests read back from every formatted conversation, and conversation -7, which says control strings."""
     own = r"\### Assistant: </turn> ok"
@@ -32,7 +46,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_byte_bpe, op6_chat_format, op8_packing]
+    named = [op1_byte_bpe, op2_language_id, op3_html_text, op6_chat_format, op8_packing]
     return {f.__name__: f for f in named}
 
 
