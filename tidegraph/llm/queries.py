@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import bpe, chat, html, langid, packing
+from tidegraph.llm import bpe, chat, html, langid, packing, toxicity
 from tidegraph.llm.common import table
 
 
@@ -31,6 +31,15 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learned from labelled documents whose remainder is not 0."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(langid.remainder("doc_id", 5) != 0)
+    model = toxicity.fit(docs, labels)
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (langid.remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests read back from every formatted conversation, and conversation -7, which says control strings."""
     own = r"\### Assistant: </turn> ok"
@@ -46,7 +55,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_byte_bpe, op2_language_id, op3_html_text, op6_chat_format, op8_packing]
+    named = [op1_byte_bpe, op2_language_id, op3_html_text, op4_toxicity, op6_chat_format, op8_packing]
     return {f.__name__: f for f in named}
 
 
