@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import bpe, chat, html, langid, packing, topk, toxicity
+from tidegraph.llm import bpe, chat, html, langid, neardup_vectors, packing, topk, toxicity
 from tidegraph.llm.common import table
 
 
@@ -40,6 +40,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (langid.remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op5_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and decision of every embedding."""
+    return neardup_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests read back from every formatted conversation, and conversation -7, which says control strings."""
     own = r"\### Assistant: </turn> ok"
@@ -60,7 +65,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_byte_bpe, op2_language_id, op3_html_text, op4_toxicity, op6_chat_format, op8_packing, op10_exact_topk]
+    named = [op1_byte_bpe, op2_language_id, op3_html_text, op4_toxicity, op5_vector_near_dedup, op6_chat_format, op8_packing, op10_exact_topk]
     return {f.__name__: f for f in named}
 
 
