@@ -39,6 +39,8 @@ from tidegraph.llm.common import WordHashes, mix64, written
 from tidegraph.llm.langid import bounded_sample
 
 SAMPLE_ROWS = 5000
+#: Texts of the sample, about so many by a hash, that the character model of the channel is fitted on.
+LM_TEXTS = 1000
 #: Which letters a sign may stand for.
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -280,6 +282,12 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     once = rows.mapInArrow(hashed, "key bigint, y int, text string, mh bigint").groupBy("mh").agg(F.min_by(F.struct("y", "text"), "key").alias("r"))
     sample = written(once.select("r.y", "r.text", (F.pmod(F.col("mh"), F.lit(2))).cast("int").alias("half")), "toxicity-sample")
 
+    cells = {(r["half"], r["y"]): r["count"] for r in sample.groupBy("half", "y").count().collect()}
+    a0, a1, b0, b1 = (cells.get(c, 0) for c in ((0, 0), (0, 1), (1, 0), (1, 1)))
+    if not a1 + b1 or not a0 + b0:
+        return Model(None, constant=float(a0 + b0 == 0))
+    ratio = (sizes[0] / sizes[1]) / ((a0 + b0) / (a1 + b1))  # how many rows of label 0 one of the sample stands for
+
     def letters(batches):
         counts: Counter = Counter()
         for batch in batches:
@@ -290,7 +298,8 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
                 counts.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
-    got = sample.select("text").mapInArrow(letters, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy("word").toArrow()
+    few = sample.where(F.pmod(F.xxhash64("text"), F.lit(a0 + a1 + b0 + b1)) < LM_TEXTS)
+    got = few.select("text").mapInArrow(letters, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy("word").toArrow()
     lm = CharLM.fit({"text": dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))}, 3)
     bare = Model(lm)
     shared = spark.sparkContext.broadcast(bare)
@@ -299,7 +308,6 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
         m = shared.value
         reader = reader_of(m.token, m.lm, {})
         counts: dict[str, list[int]] = {}
-        sizes = [0, 0, 0, 0]
 
         def emit():
             names = list(counts)
@@ -310,21 +318,16 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
         for batch in batches:
             for y, t, half in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 slot = 2 * half + y
-                sizes[slot] += 1
                 for f in features_of(reader.words(t)):
                     counts.setdefault(f, [0, 0, 0, 0])[slot] += 1
             if len(counts) > 300_000:
                 yield emit()
-        counts[""] = sizes  # no word is empty: the numbers of texts
         yield emit()
 
-    # words that no text of label 1 holds have no positive weight; they are dropped after the sum
-    sums = sample.mapInArrow(features, "f string, a0 bigint, a1 bigint, b0 bigint, b1 bigint").groupBy("f").agg(*(F.sum(c).alias(c) for c in ("a0", "a1", "b0", "b1"))).where("a1 + b1 >= 2").toArrow()
-    table = {f: (a0, a1, b0, b1) for f, a0, a1, b0, b1 in zip(*(sums.column(i).to_pylist() for i in range(5)))}
-    a0, a1, b0, b1 = table.pop("", (0, 0, 0, 0))
-    if not a1 + b1 or not a0 + b0:
-        return Model(None, constant=float(a0 + b0 == 0))
-    ratio = (sizes[0] / sizes[1]) / ((a0 + b0) / (a1 + b1))  # how many rows of label 0 one of the sample stands for
+    # only features that label 1 favours, in a half or on the whole, can have a weight; the others stay on the executors
+    favoured = " or ".join(f"({one} >= 3 and {one} > {ratio!r} * ({zero}))" for one, zero in (("a1", "a0"), ("b1", "b0"), ("a1 + b1", "a0 + b0")))
+    sums = sample.mapInArrow(features, "f string, a0 bigint, a1 bigint, b0 bigint, b1 bigint").groupBy("f").agg(*(F.sum(c).alias(c) for c in ("a0", "a1", "b0", "b1"))).where(favoured).toArrow()
+    table = {f: (v0, v1, w0, w1) for f, v0, v1, w0, w1 in zip(*(sums.column(i).to_pylist() for i in range(5)))}
     halves = [learn_weights({f: (v[3], v[2]) for f, v in table.items()}, ratio, 3), learn_weights({f: (v[1], v[0]) for f, v in table.items()}, ratio, 3)]
     final = learn_weights({f: (v[1] + v[3], v[0] + v[2]) for f, v in table.items()}, ratio, 5 if a1 + b1 >= 100 else 3)
     other = spark.sparkContext.broadcast((bare.token, lm, halves))
