@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import bpe, chat, html, langid, neardup_vectors, packing, topk, toxicity
+from tidegraph.llm import bpe, chat, html, langid, neardup_text, neardup_vectors, packing, topk, toxicity
 from tidegraph.llm.common import table
 
 
@@ -59,13 +59,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and component of every document."""
+    return neardup_text.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best inner products of every query vector."""
     return topk.topk(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_byte_bpe, op2_language_id, op3_html_text, op4_toxicity, op5_vector_near_dedup, op6_chat_format, op8_packing, op10_exact_topk]
+    named = [op1_byte_bpe, op2_language_id, op3_html_text, op4_toxicity, op5_vector_near_dedup, op6_chat_format, op8_packing, op9_ngram_jaccard, op10_exact_topk]
     return {f.__name__: f for f in named}
 
 
