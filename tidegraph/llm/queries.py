@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import bpe, chat, html, langid, neardup_text, neardup_vectors, packing, topk, toxicity
+from tidegraph.llm import bpe, chat, html, langid, neardup_text, neardup_vectors, packing, substrings, topk, toxicity
 from tidegraph.llm.common import table
 
 
@@ -53,6 +53,12 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(probe)))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document, how many an earlier document already has, and a digest of the others."""
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every packed document."""
     out = packing.pack(table(spark, sf_dir, "documents"))
@@ -70,7 +76,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_byte_bpe, op2_language_id, op3_html_text, op4_toxicity, op5_vector_near_dedup, op6_chat_format, op8_packing, op9_ngram_jaccard, op10_exact_topk]
+    named = [op1_byte_bpe, op2_language_id, op3_html_text, op4_toxicity, op5_vector_near_dedup, op6_chat_format, op7_substring_dedup, op8_packing, op9_ngram_jaccard, op10_exact_topk]
     return {f.__name__: f for f in named}
 
 
