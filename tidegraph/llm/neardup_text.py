@@ -2,14 +2,14 @@
 
 Method: PartEnum (see ``partenum``). Documents with the same set are one class,
 named by its smallest key. The signatures of each class are dealt to buckets by
-what they are signatures of; a bucket finds the classes that share one, and
-drops pairs that cannot be similar by an exact lower bound on their difference
-(sizes and parity sketches). Of what is left it emits, for each class, the pair
-with its smallest possible partner, and which classes hang together. These
-pairs are verified on the full sets, and connected. Then every group that still
-holds two different components is compared across them, pair by pair, so no
-link between different texts is lost, while groups of thousands of copies cost
-one comparison a member.
+what they are signatures of; a bucket finds the classes that share one and names
+each with the first of them, and keeps lists of three or more. Pairs that cannot
+be similar by an exact lower bound on their difference (sizes and parity
+sketches) are dropped. Of the others, each class is first verified on the full
+sets with the nearest few by key, and what is similar is connected. Then every
+pair that shares a signature, may be similar and still lies in two components is
+verified as well, so no link between different texts is lost, while a group of
+thousands of copies costs a few comparisons a member.
 
 Scale: what a bucket reads is bounded by the number of buckets, which grows with
 the number of signatures; nothing but counts and the frequent elements (a
@@ -32,27 +32,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import WordHashes, written
+from tidegraph.llm.common import WordHashes, mix64, written
 from tidegraph.llm.components import components
-from tidegraph.llm.neardup_vectors import forest
 from tidegraph.llm.partenum import DEN, NUM, fold, shingles, signatures, sketch
 
-SAMPLE_SETS, FREQUENT_SHARE, BUCKET_ROWS, SMALL_GROUP = 4096, 0.005, 300_000, 48
+SAMPLE_SETS, FREQUENT_SHARE, BUCKET_ROWS, NEAREST = 4096, 0.005, 1_000_000, 3
 
 
 def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     memo = WordHashes()
-    for batch in batches:
-        n, h1, h2 = [], [], []
-        for text in batch.column(1).to_pylist():
-            s = shingles(text, memo)
-            raw = xxhash.xxh3_128_intdigest(s.tobytes())
-            n.append(len(s))
-            h1.append((raw & (1 << 64) - 1) - (1 << 63))
-            h2.append((raw >> 64) - (1 << 63))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, h1, h2))], ["id", "n", "h1", "h2"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1024):
+            batch = whole.slice(at, 1024)
+            n, h1, h2, parities = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                s = shingles(text, memo)
+                raw = xxhash.xxh3_128_intdigest(s.tobytes())
+                n.append(len(s))
+                h1.append((raw & (1 << 64) - 1) - (1 << 63))
+                h2.append((raw >> 64) - (1 << 63))
+                parities.append(sketch(s).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, h1, h2)), pa.array(parities, pa.binary())], ["id", "n", "h1", "h2", "sketch"])
 
 
 def frequent_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,172 +91,174 @@ def signature_batches(frequent, slices: int):
                 bucket, signs, owner = bucket[order], signs[order], owner[order]
                 cuts = np.flatnonzero(np.diff(bucket)) + 1
                 ids = np.array([i for i, _ in sets], "<i8")
-                sizes = np.array([len(s) for _, s in sets], "<u4")
-                sketches = [sketch(s) for _, s in sets]
-                blobs = [pack(ids, sizes, sketches, signs[a:b], owner[a:b]) for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(bucket)])]
+                blobs = [pack(ids, signs[a:b], owner[a:b]) for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(bucket)])]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[np.r_[0, cuts]], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return run
 
 
-def pack(ids, sizes, sketches, signs, owner) -> bytes:
-    """Little-endian: number of classes and signatures, packed key steps, sizes, sketches, then signatures and their classes.
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Sorted keys as compressed steps."""
+    return zlib.compress(np.diff(ids, prepend=0).astype("<i8").tobytes(), 1)
+
+
+def unpack_ids(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(packed), "<i8"))
+
+
+def pack(ids: np.ndarray, signs: np.ndarray, owner: np.ndarray) -> bytes:
+    """Little-endian: numbers of signatures and of bytes of keys, the keys, then signatures and the places of their keys.
 
     32 bits of a signature do: a bucket holds few enough that chance meetings are rare, and all are verified.
     """
     used, local = np.unique(owner, return_inverse=True)
-    steps = zlib.compress(np.diff(ids[used], prepend=0).astype("<i8").tobytes(), 1)
-    head = np.array([len(used), len(signs), len(steps)], "<u4").tobytes()
-    return b"".join([head, steps, sizes[used].tobytes(), *(sketches[i].tobytes() for i in used), (signs >> np.uint64(32)).astype("<u4").tobytes(), local.astype("<u2").tobytes()])
-
-
-def unpack(blob: bytes):
-    used, n, length = np.frombuffer(blob, "<u4", 3).tolist()
-    at = 12 + length
-    ids = np.cumsum(np.frombuffer(zlib.decompress(blob[12:at]), "<i8"))
-    sizes = np.frombuffer(blob, "<u4", used, at)
-    at += 4 * used
-    words = np.maximum(1, (1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)) // 64)
-    sketches = np.frombuffer(blob, "<u8", int(words.sum()), at)
-    at += 8 * int(words.sum())
-    return ids, sizes, words, sketches, np.frombuffer(blob, "<u4", n, at), np.frombuffer(blob, "<u2", n, at + 4 * n)
-
-
-class Bucket:
-    """The classes of a bucket and their signatures."""
-
-    def __init__(self, blobs: list[bytes]):
-        parts = [unpack(b) for b in blobs]
-        offsets = np.cumsum([0] + [len(p[0]) for p in parts])
-        ids = np.concatenate([p[0] for p in parts])
-        sizes = np.concatenate([p[1] for p in parts]).astype(np.int64)
-        words = np.concatenate([p[2] for p in parts])
-        flat = np.concatenate([p[3] for p in parts])
-        signs = np.concatenate([p[4] for p in parts])
-        owner = np.concatenate([p[5].astype(np.int64) + o for p, o in zip(parts, offsets)])
-        starts = np.cumsum(words) - words
-        order = np.argsort(ids, kind="stable")  # classes by key, so the smaller index is the smaller key
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        self.ids, self.sizes = ids[order], sizes[order]
+    keys = pack_ids(ids[used])
+    return b"".join([np.array([len(signs), len(keys)], "<u4").tobytes(), keys, (signs >> np.uint64(32)).astype("<u4").tobytes(), local.astype("<u2").tobytes()])
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures and their keys."""
+    n, length = np.frombuffer(blob, "<u4", 2).tolist()
+    ids = unpack_ids(blob[8 : 8 + length])
+    return np.frombuffer(blob, "<u4", n, 8 + length), ids[np.frombuffer(blob, "<u2", n, 8 + length + 4 * n)]
+
+
+FOUND = "first bigint, other bigint, list bigint, members binary"
+
+
+def bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket -> for the classes that share a signature: (first, other) once each, and lists of three or more."""
+
+    def solve(blobs):
+        signs, ids = (np.concatenate(c) for c in zip(*map(unpack, blobs)))
+        order = np.lexsort((ids, signs))
+        signs, ids = signs[order], ids[order]
+        fresh = np.r_[True, (signs[1:] != signs[:-1]) | (ids[1:] != ids[:-1])]
+        signs, ids = signs[fresh], ids[fresh]
+        start = np.flatnonzero(np.r_[True, signs[1:] != signs[:-1]])
+        size = np.diff(np.r_[start, len(signs)])
+        name = np.add.reduceat(mix64(ids.view(np.uint64)), start).view(np.int64)  # of the list, whatever signature it shares
+        several = np.flatnonzero(size > 1)
+        several = several[np.unique(name[several], return_index=True)[1]]
+        if not len(several):
+            return
+        start, size, name = start[several], size[several], name[several]
+        first = np.repeat(ids[start], size - 1)
+        other = ids[np.arange(len(first)) + np.repeat(start + 1 - (np.cumsum(size - 1) - (size - 1)), size - 1)]
+        order = np.lexsort((other, first))
+        first, other = first[order], other[order]
+        fresh = np.r_[True, (first[1:] != first[:-1]) | (other[1:] != other[:-1])]
+        yield pa.RecordBatch.from_arrays([pa.array(first[fresh]), pa.array(other[fresh]), pa.nulls(int(fresh.sum()), pa.int64()), pa.nulls(int(fresh.sum()), pa.binary())], ["first", "other", "list", "members"])
+        longer = np.flatnonzero(size > 2)
+        for at in range(0, len(longer), 5000):
+            some = longer[at : at + 5000]
+            blobs = [pack_ids(ids[start[i] : start[i] + size[i]]) for i in some]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[start[some]]), pa.nulls(len(some), pa.int64()), pa.array(name[some]), pa.array(blobs, pa.binary())], ["first", "other", "list", "members"])
+
+    bucket, blobs = None, []
+    for batch in batches:
+        for at, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if at != bucket:
+                if blobs:
+                    yield from solve(blobs)
+                bucket, blobs = at, []
+            blobs.append(blob)
+    if blobs:
+        yield from solve(blobs)
+
+
+class Sketches:
+    """Sizes and parity sketches of some classes, at every width that a comparison needs."""
+
+    def __init__(self, sizes: list[int], sketches: list[bytes]):
+        self.sizes = np.array(sizes, np.int64)
+        self.words = np.array([len(s) // 8 for s in sketches], np.int64)
         self.at: dict[int, np.ndarray] = {}
-        self.sketches: dict[int, np.ndarray] = {}
-        self.words = words[order]
-        starts = starts[order]
-        folded: dict[int, np.ndarray] = {}
-        for w in sorted(set(words.tolist()), reverse=True):
-            own = np.flatnonzero(self.words == w)
-            rows = [flat[starts[own][:, None] + np.arange(w)]]
-            members = [own]
-            for wider in (2 * w, 4 * w):  # similar sets are at most one width apart, two where sizes straddle
-                if wider in folded:
-                    members.append(np.flatnonzero(self.words == wider))
-                    narrow = fold(folded[wider]) if wider == 2 * w else fold(fold(folded[wider]))
-                    rows.append(narrow)
-            folded[w] = rows[0]
-            place = np.full(len(self.ids), -1, np.int64)
-            place[np.concatenate(members)] = np.arange(sum(map(len, members)))
-            self.at[w], self.sketches[w] = place, np.concatenate(rows)
-        owner = rank[owner]
-        order = np.lexsort((owner, signs))
-        signs, owner = signs[order], owner[order]
-        fresh = np.r_[True, (signs[1:] != signs[:-1]) | (owner[1:] != owner[:-1])]
-        self.signs, self.owner = signs[fresh], owner[fresh]
+        self.rows: dict[int, np.ndarray] = {}
+        own = {w: np.flatnonzero(self.words == w) for w in set(self.words.tolist())}
+        native = {w: np.frombuffer(b"".join(sketches[i] for i in rows), "<u8").reshape(len(rows), w) for w, rows in own.items()}
+        for w in own:  # similar sets are one width apart at most
+            wide = 2 * w
+            members = [own[w], *([own[wide]] if wide in own else [])]
+            self.rows[w] = np.concatenate([native[w], *([fold(native[wide])] if wide in own else [])])
+            place = np.full(len(sketches), -1, np.int64)
+            place[np.concatenate(members)] = np.arange(len(self.rows[w]))
+            self.at[w] = place
 
     def possible(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Which pairs may be similar: their sizes and parities leave it open."""
         a, b = self.sizes[i], self.sizes[j]
         most = (a + b) * (DEN - NUM) // (DEN + NUM)
-        ok = np.abs(a - b) <= most
         width = np.minimum(self.words[i], self.words[j])
-        ok &= np.maximum(self.words[i], self.words[j]) <= 4 * width
+        ok = (np.abs(a - b) <= most) & (np.maximum(self.words[i], self.words[j]) <= 2 * width)
         for w in np.unique(width[ok]).tolist():
             rows = np.flatnonzero(ok & (width == w))
             step = max(1, 2_000_000 // w)
             for s in range(0, len(rows), step):
                 r = rows[s : s + step]
-                x = self.sketches[w][self.at[w][i[r]]] ^ self.sketches[w][self.at[w][j[r]]]
+                x = self.rows[w][self.at[w][i[r]]] ^ self.rows[w][self.at[w][j[r]]]
                 ok[r] = np.bitwise_count(x).sum(axis=1, dtype=np.int64) <= most[r]
         return ok
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (smaller, larger) that share a signature and may be similar; in a large group, those with its first class, and all of the others'."""
-        start = np.flatnonzero(np.r_[True, self.signs[1:] != self.signs[:-1]]) if len(self.signs) else np.zeros(0, np.int64)
-        size = np.diff(np.r_[start, len(self.signs)])
-        n = len(self.ids)
-        found = []
-        for g in np.unique(size[(size >= 2) & (size <= SMALL_GROUP)]).tolist():
-            at = start[size == g]
-            p, q = np.triu_indices(g, 1)
-            for s in range(0, len(at), max(1, 1_000_000 // len(p))):
-                rows = at[s : s + max(1, 1_000_000 // len(p))]
-                found.append(np.unique(self.owner[rows[:, None] + p].ravel() * n + self.owner[rows[:, None] + q].ravel()))
-        small = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        i, j = small // max(n, 1), small % max(n, 1)
-        ok = self.possible(i, j)
-        out = [small[ok]]
-        seen: set[bytes] = set()
-        for s, g in zip(start[size > SMALL_GROUP].tolist(), size[size > SMALL_GROUP].tolist()):
-            members = self.owner[s : s + g]
-            if (mark := members.tobytes()) in seen:
-                continue
-            seen.add(mark)
-            while len(members) > 1:  # those near the first are settled by it; each of the others is compared with all
-                first, rest = members[0], members[1:]
-                near = self.possible(np.full(len(rest), first), rest)
-                out.append(first * n + rest[near])
-                far = rest[~near]
-                if len(near) and near.any():
-                    close = rest[near]
-                    for f in range(0, len(far), max(1, 1_000_000 // len(close))):
-                        some = far[f : f + max(1, 1_000_000 // len(close))]
-                        x, y = np.repeat(some, len(close)), np.tile(close, len(some))
-                        both = self.possible(x, y)
-                        out.append(np.minimum(x, y)[both] * n + np.maximum(x, y)[both])
-                members = far
-        all_ = np.unique(np.concatenate(out))
-        return all_ // max(n, 1), all_ % max(n, 1)
-
-
-FOUND = "kind int, a bigint, b bigint"
-
 
-def bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket -> kind 0: a pair to verify; kind 1: (group, member) of classes that hang together."""
-    import xxhash
+def possible_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, n_a, n_b, sketch_a, sketch_b) -> pairs (a, b) that may be similar."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_pylist() for c in range(2, 6)]
+        pairs = Sketches(columns[0] + columns[1], columns[2] + columns[3])
+        n = batch.num_rows
+        ok = pa.array(np.flatnonzero(pairs.possible(np.arange(n), np.arange(n) + n)), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(ok), batch.column(1).take(ok)], ["a", "b"])
+
+
+def across_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by first: (first, node, component, n, sketch) of its classes, then (first, members) of its lists -> pairs of different components that share a list and may be similar."""
+
+    def solve(nodes, lists):
+        ids = np.array([r[0] for r in nodes])
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        component = np.array([nodes[i][1] for i in order])
+        sketches = Sketches([nodes[i][2] for i in order], [nodes[i][3] for i in order])
+        n = len(ids)
+        found = []
 
-    def solve(blobs):
-        b = Bucket(blobs)
-        i, j = b.pairs()
-        if not len(i):
-            return None
-        partner = np.full(len(b.ids), len(b.ids))
-        np.minimum.at(partner, j, i)
-        late = np.flatnonzero(partner < len(b.ids))
-        kinds, left, right = [np.zeros(len(late), np.int32)], [b.ids[partner[late]]], [b.ids[late]]
-        # a first class that others have, but that is nobody's partner, is reached through them
-        root = forest(i, j, len(b.ids))
-        touched = np.unique(np.concatenate([i, j]))
-        order = touched[np.argsort(root[touched], kind="stable")]
-        for members in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
-            if len(members) > 2:
-                ids = np.sort(b.ids[members])
-                group = xxhash.xxh3_64_intdigest(ids.tobytes()) - (1 << 63)
-                kinds.append(np.ones(len(ids), np.int32))
-                left.append(np.full(len(ids), group))
-                right.append(ids)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (kinds, left, right)], ["kind", "a", "b"])
+        def judge(i, j):
+            i, j = np.minimum(i, j), np.maximum(i, j)
+            ok = np.flatnonzero(component[i] != component[j])
+            ok = ok[sketches.possible(i[ok], j[ok])]
+            found.append(np.unique(i[ok] * n + j[ok]))
 
-    bucket, blobs = None, []
+        for packed in lists:
+            members = np.searchsorted(ids, unpack_ids(packed))
+            kinds, counts = np.unique(component[members], return_counts=True)
+            if len(kinds) < 2:
+                continue
+            largest = kinds[counts.argmax()]  # members of the largest component meet the others, the others all
+            others = members[component[members] != largest]
+            step = max(1, 1_000_000 // len(members))
+            for at in range(0, len(others), step):
+                some = others[at : at + step]
+                judge(np.repeat(some, len(members)), np.tile(members, len(some)))
+        if found:
+            pairs = np.unique(np.concatenate(found))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[pairs // n]), pa.array(ids[pairs % n])], ["a", "b"])
+
+    first, nodes, lists = None, [], []
     for batch in batches:
-        for at, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if at != bucket:
-                if blobs and (out := solve(blobs)):
-                    yield out
-                bucket, blobs = at, []
-            blobs.append(blob)
-    if blobs and (out := solve(blobs)):
-        yield out
+        for at, node, component, size, parities, members in zip(*(batch.column(c).to_pylist() for c in range(6))):
+            if at != first:
+                if lists:
+                    yield from solve(nodes, lists)
+                first, nodes, lists = at, [], []
+            if members is None:
+                nodes.append((node, component, size, parities))
+            else:
+                lists.append(members)
+    if lists:
+        yield from solve(nodes, lists)
 
 
 def verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,9 +292,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
     docs = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    digests = written(docs.mapInArrow(digest_batches, "id bigint, n bigint, h1 bigint, h2 bigint"), "set-digests")
+    digests = written(docs.mapInArrow(digest_batches, "id bigint, n bigint, h1 bigint, h2 bigint, sketch binary"), "set-digests")
     usable = digests.where("id is not null and n > 0")
-    classes = written(usable.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "set-classes")
+    classes = written(usable.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "set-classes")
     totals = classes.agg(F.count("*").alias("sets"), F.sum("n").alias("elements")).first()
     if not totals["sets"]:
         return digests.select(F.col("id").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.col("id").cast(kind).alias("component_id"))
@@ -302,18 +306,35 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     frequent = spark.sparkContext.broadcast(np.sort(heavy.column(0).to_numpy().astype(np.int64).view(np.uint64)))
     slices = max(1, round(0.8 * totals["elements"] / BUCKET_ROWS / 16))  # about 16 bands hold most sets
     blobs = texts.mapInArrow(signature_batches(frequent, slices), "bucket bigint, blob binary")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * slices)
-    found = written(blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(bucket_batches, FOUND), "set-pairs")
-    pairs = written(found.where("kind = 0").select("a", "b").where("a <> b").distinct(), "set-distinct-pairs")
-    links = verified(pairs, texts)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * slices)
+    found = written(blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(bucket_batches, FOUND), "set-meetings")
+    meetings = written(found.where("other is not null").select(F.col("first").alias("a"), F.col("other").alias("b")).distinct(), "set-pairs")
+    # one set by key; a key that repeats with another text has several
+    sets = classes.groupBy(F.col("rep").alias("node")).agg(F.max(F.struct("n", "sketch")).alias("s")).select("node", "s.n", "s.sketch")
+    of = {x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab"}
+    both = meetings.join(of["a"], "a").join(of["b"], "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+    pairs = written(both.mapInArrow(possible_batches, "a bigint, b bigint"), "set-possible-pairs")
+    # first the nearest few by key of each class: in a group of copies they connect nearly all
+    nearest = pairs.groupBy("b").agg(F.slice(F.array_sort(F.collect_set("a")), 1, NEAREST).alias("few")).select(F.explode("few").alias("a"), "b")
+    tried = written(nearest, "set-first-pairs")
+    links = verified(tried, texts)
     roots = components(links)
-    # groups that still hold several components are compared across them
-    groups = found.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("node")).distinct()
-    placed = groups.join(roots, "node", "left").select("g", "node", F.coalesce("component", "node").alias("component"))
-    open_ = placed.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("g")
-    placed = written(placed.join(open_, "g"), "set-open-groups")
-    left, right = (placed.select("g", F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    across = left.join(right, "g").where("a < b and ca <> cb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    # then all that still lie in different components: single pairs, and pairs within lists
+    where = {x: roots.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab"}
+    placed = written(meetings.join(where["a"], "a", "left").join(where["b"], "b", "left").select("a", "b", F.coalesce("c_a", "a").alias("c_a"), F.coalesce("c_b", "b").alias("c_b")), "set-placed")
+    apart = pairs.join(placed.where("c_a <> c_b").select("a", "b"), ["a", "b"])
+    lists = found.where("members is not null").groupBy("list").agg(F.first(F.struct("first", "members")).alias("l")).select("l.*")
+    # a first class all of whose partners are in its component has no list that spans two
+    open_ = written(placed.where("c_a <> c_b").select(F.col("a").alias("first")).distinct(), "set-open")
+    wanted = written(lists.join(open_, "first", "left_semi"), "set-lists")
+    spanning = wanted.select("first").distinct()
+    partners = placed.withColumnRenamed("a", "first").join(spanning, "first", "left_semi")
+    nodes = partners.select("first", F.col("b").alias("node"), F.col("c_b").alias("component")).union(partners.select("first", F.col("first").alias("node"), F.col("c_a").alias("component")).distinct())
+    rows = nodes.join(sets, "node").select("first", "node", "component", "n", "sketch", F.lit(None).cast("binary").alias("members"))
+    blank = [F.lit(None).cast(t).alias(c) for c, t in (("node", "bigint"), ("component", "bigint"), ("n", "bigint"), ("sketch", "binary"))]
+    work = rows.unionByName(wanted.select("first", *blank, "members")).withColumn("later", F.col("members").isNotNull())
+    work = work.repartition("first").sortWithinPartitions("first", "later").drop("later")
+    across = apart.unionByName(work.mapInArrow(across_batches, "a bigint, b bigint")).distinct().join(tried, ["a", "b"], "left_anti")
     across = written(across, "set-pairs-across")
     if across.limit(1).count():
         roots = components(links.unionByName(verified(across, texts)))
