@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegraph.queries import base, relational
+from tidegraph.queries import base, graphs, relational, series  # noqa: F401  registering
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,7 +92,8 @@ def diagrams_of(runs: DataFrame) -> DataFrame:
 
 def as_map(key: Column, value: Column) -> Column:
     """Rows as one map, in key order; missing and non-finite values become null."""
-    return F.map_from_entries(F.array_sort(F.collect_list(F.struct(key.cast("string"), value))))
+    entries = F.collect_list(F.struct(key.cast("string").alias("k"), value.alias("v")))
+    return F.map_from_entries(F.array_sort(entries, lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)))
 
 
 def finite(x: Column) -> Column:
