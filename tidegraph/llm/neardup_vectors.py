@@ -119,40 +119,43 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def keyed_batches(bits: int, tables: int):
-    """(id, mult, label, vector) -> one row per table with payload."""
+def unit_of(v: np.ndarray) -> np.ndarray:
+    """Rows of length one, in double precision; scaled first, so that no square over- or underflows."""
+    v = v.astype(np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def keyed_batches(bits: int, tables: int, payload: bool):
+    """(id, mult, label, vector) -> one row per table, with or without the payload: keys, code and vector as it came."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                ids, mults = (batch.column(c).to_pylist() for c in range(2))
                 column = batch.column(3)
-                by_dim: dict[int, list[int]] = {}
-                sizes = np.diff(column.offsets.to_numpy())
-                for r, d in enumerate(sizes.tolist()):
-                    by_dim.setdefault(d, []).append(r)
                 offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
-                for dim, rows in by_dim.items():
-                    v = np.stack([values[offsets[r] : offsets[r + 1]] for r in rows]).astype("<f8")
-                    unit = v / np.linalg.norm(v / np.abs(v).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(v).max(axis=1, keepdims=True)
+                sizes = np.diff(offsets)
+                for dim in np.unique(sizes).tolist():
+                    rows = np.flatnonzero(sizes == dim)
+                    v = np.stack([values[offsets[r] : offsets[r] + dim] for r in rows])
+                    unit = unit_of(v)
                     keys = keys_of(unit, bits, tables)
-                    turned, codes, factor = encode(unit)
-                    packed = np.packbits(codes, axis=1)
-                    payload = [keys[n].astype("<i4").tobytes() + packed[n].tobytes() + unit[n].tobytes() for n in range(len(rows))]
+                    mine = batch.take(pa.array(rows))
+                    extra = []
+                    if payload:
+                        _, codes, factor = encode(unit)
+                        packed = np.packbits(codes, axis=1)
+                        blobs = [keys[n].astype("<i4").tobytes() + packed[n].tobytes() + v[n].tobytes() for n in range(len(rows))]
+                        extra = [mine.column(0), mine.column(1), pa.array(factor, pa.float64()), pa.array(blobs, pa.binary())]
                     for t in range(tables):
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                batch.column(2).take(pa.array(rows)), pa.array([dim] * len(rows), pa.int32()), pa.array([t] * len(rows), pa.int32()), pa.array(keys[:, t], pa.int32()),
-                                pa.array([ids[r] for r in rows], pa.int64()), pa.array([mults[r] for r in rows], pa.int64()), pa.array(factor, pa.float64()), pa.array(payload, pa.binary()),
-                            ],
-                            ["label", "dim", "t", "k", "id", "mult", "factor", "payload"],
-                        )
+                        head = [mine.column(2), pa.array(np.full(len(rows), dim, np.int32)), pa.array(np.full(len(rows), t, np.int32)), pa.array(keys[:, t])]
+                        yield pa.RecordBatch.from_arrays([*head, *extra], ["label", "dim", "t", "k", *(["id", "mult", "factor", "payload"] if payload else [])])
 
     return run
 
 
-def tile_batches(tables: int, threshold: float):
+def tile_batches(tables: int, threshold: float, kind: str):
     """Rows sorted by (label, dim, t, k, tile) -> (id, links, root) of each tile."""
 
     def solve(group, rows):
@@ -166,7 +169,7 @@ def tile_batches(tables: int, threshold: float):
             keys = raw[:, : 4 * tables].copy().view("<i4")
             n = -(-dim // 8)
             codes = np.unpackbits(raw[:, 4 * tables : 4 * tables + n], axis=1)[:, :dim].astype(bool)
-            unit = raw[:, 4 * tables + n :].copy().view("<f8")
+            unit = unit_of(raw[:, 4 * tables + n :].copy().view(kind))
             parts.append({"id": np.array([r[1] for r in own]), "mult": np.array([r[2] for r in own]), "factor": np.array([r[3] for r in own]), "keys": keys, "codes": codes, "unit": unit, "turned": unit @ rotation(dim, 0)})
         a, b = parts[0], parts[1] if len(parts) > 1 else None
         found = links_of(a, b, table, threshold)
@@ -217,26 +220,30 @@ def tile_batches(tables: int, threshold: float):
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """Per row: key, n_links, component_id, kept."""
     v = F.col("v")
-    fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
+    fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(label).alias("label"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"))
+    single = df.schema[vector].dataType.simpleString() == "array<float>"
+    vector_column = F.col(vector) if single else F.transform(F.col(vector), lambda x: x.cast("double"))
+    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(label).alias("label"), vector_column.alias("v"))
     rows = rows.withColumn("ok", F.coalesce(fine & F.col("id").isNotNull() & F.col("label").isNotNull(), F.lit(False)))
     # exact copies are one class: two 64-bit hashes name it
-    named = rows.where("ok").withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).withColumn("h1", F.xxhash64("label", "v")).withColumn("h2", F.xxhash64(F.reverse("v"), "label"))
+    named = rows.where("ok").withColumn("v", F.transform("v", lambda x: (x + F.lit(0.0)).cast("float" if single else "double"))).withColumn("h1", F.xxhash64("label", "v")).withColumn("h2", F.xxhash64(F.reverse("v"), "label"))
     classes = written(named.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("mult"), F.first("label").alias("label"), F.first("v").alias("v")), "vector-classes")
     spread = classes.groupBy("label").count().agg(F.sum("count").alias("n"), F.count("*").alias("labels"), F.max("count").alias("most")).first()
     bits, tables = parameters(max(spread["n"] / max(spread["labels"], 1), (spread["most"] or 0) / 4) if spread["n"] else 1, threshold)
-    label_kind = classes.schema["label"].dataType.simpleString()
-    keyed = classes.select("id", "mult", "label", "v").mapInArrow(keyed_batches(bits, tables), f"label {label_kind}, dim int, t int, k int, id bigint, mult bigint, factor double, payload binary")
-    keyed = written(keyed, "vector-keys")
+    head = f"label {classes.schema['label'].dataType.simpleString()}, dim int, t int, k int"
+    source = classes.select("id", "mult", "label", "v")
     group = ["label", "dim", "t", "k"]
-    sizes = keyed.groupBy(*group).count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / F.lit(GROUP_ROWS)).cast("int")).drop("count")
+    # keys are cheap: they are made twice instead of writing the vectors once for each table
+    sizes = source.mapInArrow(keyed_batches(bits, tables, False), head).groupBy(*group).count().where("count > 1")
+    sizes = written(sizes.withColumn("blocks", F.ceil(F.col("count") / F.lit(GROUP_ROWS)).cast("int")).drop("count"), "vector-groups")
+    keyed = source.mapInArrow(keyed_batches(bits, tables, True), f"{head}, id bigint, mult bigint, factor double, payload binary")
     meeting = keyed.join(sizes, group)  # rows that are alone in their group go; a hot group is split by the skew join
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     tiles = meeting.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = tiles.select(*group, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "mult", "factor", "payload")
     work = tiles.repartition(*group, "low", "high").sortWithinPartitions(*group, "low", "high", "block", "id")
-    found = written(work.mapInArrow(tile_batches(tables, threshold), "id bigint, links bigint, root bigint"), "vector-links")
+    found = written(work.mapInArrow(tile_batches(tables, threshold, "<f4" if single else "<f8"), "id bigint, links bigint, root bigint"), "vector-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     of_class = classes.select("h1", "h2", "id", "mult").join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
