@@ -46,7 +46,8 @@ class CharLM:
     """Kneser-Ney models for ``names``; ``fit`` takes word counts per name."""
 
     def __init__(self, names: list[str], order: int = 5):
-        self.names, self.order = names, order
+        self.names, self.order, self.floor = names, order, 1.0
+        self.keys, self.share, self.context_keys, self.backoff = [], [], [], []
 
     @classmethod
     def fit(cls, counts: dict[str, dict[str, int]], order: int = 5) -> CharLM:
@@ -59,7 +60,6 @@ class CharLM:
             weights = np.fromiter(counts[name].values(), np.float64, len(words))
             per_model.append(self._ngrams(words, weights))
         self.floor = 1.0 / (len(alphabet) + 2)
-        self.keys, self.share, self.context_keys, self.backoff = [], [], [], []
         n = len(self.names)
         for k in range(order):
             keys = np.unique(np.concatenate([m[k][0] for m in per_model] or [np.zeros(0, np.uint64)]))
@@ -110,8 +110,8 @@ class CharLM:
     def score_words(self, words: list[str]) -> np.ndarray:
         """Log-probability (natural) of each word under each model."""
         n = len(self.names)
-        if not words:
-            return np.zeros((0, n))
+        if not words or not n:
+            return np.zeros((len(words), n))
         hashes, valid, owner = grams(words, self.order)
         contexts = context_hashes(words, self.order)
         p = np.full((len(owner), n), self.floor, np.float32)
