@@ -56,11 +56,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of unsigned 64-bit numbers (multiply and shift)."""
     x = x.astype(np.uint64, copy=True)

@@ -110,7 +110,13 @@ def totals_of(lm: CharLM, token: str, texts: list) -> tuple[np.ndarray, np.ndarr
     if token not in _scores:
         _scores.clear()
         _scores[token] = WordScores(lm)
-    return _scores[token].of([LETTERS.findall(t.lower()) if t else [] for t in texts])
+    return _scores[token].of([words_of(t) for t in texts])
+
+
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters, lower-cased; none if there are only letter-like numerals."""
+    words = LETTERS.findall(text.lower()) if text else []
+    return words if any(c.isalpha() for w in words for c in w) else []
 
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, order: int = ORDER) -> Calibrated:
