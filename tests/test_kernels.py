@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from tidegraph.operators import changepoint, curvature, detectors, graphs, homology, topology, validation
+from tidegraph.operators import changepoint, curvature, detectors, graphs, homology, series, topology, validation
 
 
 def graph(*edges):
@@ -203,3 +203,15 @@ def test_pruned_search_is_exact(seed):
 def test_auc():
     assert validation.auc_of(np.array([0, 0, 1, 1]), np.array([0.1, 0.4, 0.35, 0.8])) == pytest.approx(0.75)
     assert validation.auc_of(np.array([0, 1]), np.array([0.5, 0.5])) == pytest.approx(0.5)
+
+
+def test_shapiro_wilk():
+    # a published worked example: weights of eleven men
+    w, p = series.shapiro_wilk(np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], float))
+    assert w == pytest.approx(0.79, abs=0.01) and p < 0.01
+    assert series.shapiro_wilk(np.random.default_rng(1).normal(size=300))[1] > 0.05 > series.shapiro_wilk(np.random.default_rng(1).exponential(size=300))[1]
+
+
+def test_edge_betweenness():
+    path = graph(("a", "b", 1.0), ("b", "c", 1.0))
+    assert graphs.edge_betweenness(path) == {(0, 1): pytest.approx(2 / 3), (1, 2): pytest.approx(2 / 3)}

@@ -137,6 +137,17 @@ def test_sources_and_sinks(spark, tmp_path):
         documents.require_layout(spark, f"{path}/absent")
     documents.write_summary(rows, f"{path}/csv")
     assert documents.read_csv(spark, f"{path}/csv").count() == 2
+    documents.write_ordered(rows, f"{path}/o", "date")
+    documents.write_json(rows.withColumn("v", F.lit(None).cast("int")), f"{path}/j")
+    assert documents.as_view(documents.read_edges(spark, f"{path}/o"), "ordered").count() == spark.sql("SELECT * FROM ordered").count() == 2
+    assert '"v":null' in spark.read.text(f"{path}/j").first()[0]
+    for value in (1, 2):
+        documents.upsert(spark.createDataFrame([(f"r{value}", value)], "run string, x int"), f"{path}/u")
+    documents.upsert(spark.createDataFrame([("r1", 9)], "run string, x int"), f"{path}/u")
+    assert sorted((r["run"], r["x"]) for r in spark.read.parquet(f"{path}/u").collect()) == [("r1", 9), ("r2", 2)]
+    (tmp_path / "runs.json").write_text('{"a": {"num_edges": 3, "distance_series": {"2020-01-02": 0.5, "2020-01-01": null}}}')
+    series = documents.series_of(documents.read_runs(spark, f"{path}/runs.json")).orderBy("date").collect()
+    assert [(r["series_id"], r["date"].day, r["value"]) for r in series] == [("a", 1, None), ("a", 2, 0.5)]
     runs = spark.createDataFrame([("x_ETH",), ("y_ALL",), ("z",)], "run string")
     assert {tuple(r) for r in documents.split_by_suffix(runs, {"_ETH": "eth", "_ALL": "all"}).collect()} == {("x_ETH", "eth"), ("y_ALL", "all"), ("z", "other")}
 

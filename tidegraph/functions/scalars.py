@@ -120,7 +120,3 @@ def incomplete_beta(x: float, a: float, b: float) -> float:
         if abs(1 - c * d) < 1e-16:
             break
     return front * (f - 1)
-
-
-def normal_tail(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))

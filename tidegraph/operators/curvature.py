@@ -222,11 +222,3 @@ def incident_means(pairs: DataFrame, group: list[str], measure: str) -> DataFram
     """Mean of an edge measure over the edges at each node."""
     ends = pairs.select(*group, measure, F.explode(F.array("a", "b")).alias("address"))
     return ends.groupBy(*group, "address").agg(F.avg(measure).alias(f"mean_{measure}"))
-
-
-def largest_components(labels: DataFrame, group: list[str]) -> DataFrame:
-    """Count, largest size and its share, from (group, address, component)."""
-    sizes = labels.groupBy(*group, "component").agg(F.count("*").alias("size"))
-    return sizes.groupBy(*group).agg(F.count("*").alias("n_components"), F.max("size").alias("largest"), (F.max("size") / F.sum("size")).alias("largest_frac"))
-
-

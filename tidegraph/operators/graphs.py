@@ -292,16 +292,32 @@ def edge_scores(pairs: DataFrame, scores: DataFrame, group: list[str]) -> DataFr
     return rows.select(*group, "metric", "a", "b", F.greatest(F.coalesce("s_a", F.lit(0.0)), F.coalesce("s_b", F.lit(0.0))).alias("score"))
 
 
+def edge_betweenness_scores(pairs: DataFrame, group: list[str]) -> DataFrame:
+    """Betweenness of the edges themselves: group, metric, a, b, score."""
+    keys = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in group)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        g = Graph(frame["a"], frame["b"], frame["weight"])
+        found = edge_betweenness(g)
+        i, j = (np.array([e[c] for e in found], np.int64) for c in (0, 1))
+        return pd.DataFrame({**{k: frame[k].iloc[0] for k in group}, "metric": "betweenness", "a": g.names[i], "b": g.names[j], "score": list(found.values())})
+
+    return pairs.groupBy(*group).applyInPandas(run, f"{keys}, metric string, a string, b string, score double")
+
+
 def centrality_ranks(pairs: DataFrame, group: list[str], metrics: list[str], top_n: int) -> DataFrame:
     """Ranks by centrality: nodes get their place, ``_edge`` metrics the places of their edges."""
     plain = [m for m in metrics if not centrality(m)[1]]
     of_edges = [m.removesuffix("_edge") for m in metrics if centrality(m)[1]]
-    scores = node_scores(pairs, group, sorted({*plain, *of_edges}))
+    projected = [m for m in of_edges if m != "betweenness"]
+    scores = node_scores(pairs, group, sorted({*plain, *projected}))
     order = Window.partitionBy(*group, "metric").orderBy(F.desc(F.round("score", 12)), "address")
     nodes = scores.where(F.col("metric").isin(*plain)).withColumn("top_rank", F.row_number().over(order)).where(F.col("top_rank") <= top_n)
     out = nodes.select(*group, "metric", "address", "top_rank", F.col("top_rank").alias("bottom_rank"))
     if of_edges:
-        e = edge_scores(pairs, scores.where(F.col("metric").isin(*of_edges)), group)
+        e = edge_scores(pairs, scores.where(F.col("metric").isin(*projected)), group)
+        if "betweenness" in of_edges:  # edges have one of their own; other metrics are projected from nodes
+            e = e.unionByName(edge_betweenness_scores(pairs, group))
         w = Window.partitionBy(*group, "metric").orderBy(F.desc(F.round("score", 12)), "a", "b")
         top = e.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
         ends = top.select(*group, F.concat("metric", F.lit("_edge")).alias("metric"), "rank", F.explode(F.array("a", "b")).alias("address"))

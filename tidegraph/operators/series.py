@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,10 +85,6 @@ def z_scores(c: Column, epsilon: float = 1e-8) -> Column:
     return (c - F.avg(c).over(w)) / (F.stddev_samp(c).over(w) + epsilon)
 
 
-def with_lags(series: DataFrame) -> DataFrame:
-    return series.withColumns({"lag1": F.lag(VALUE).over(along()), "lag7": F.lag(VALUE, 7).over(along()), "position": (F.row_number().over(along()) - 1).cast("double")})
-
-
 def statistics(series: DataFrame, by: list[str] | None = None) -> DataFrame:
     """19 figures of each series (and period): moments of the population, quantiles, autocorrelation, trend."""
     keys = [ID, *(by or [])]
@@ -124,7 +125,67 @@ def summary(series: DataFrame) -> DataFrame:
     inner = (1 - 2 / a) / (1 + d * F.sqrt(2 / (a - 4)))
     z_kurt = (1 - 2 / (9 * a) - F.signum(inner) * F.pow(F.abs(inner), F.lit(1 / 3))) / F.sqrt(2 / (9 * a))
     enough = (n >= 20) & (F.col("std") > 0)
-    return g.withColumns({"cv_percent": F.when(F.col("mean") != 0, 100 * F.col("std") / F.col("mean")), "z_skewness": F.when(enough, z_skew), "z_kurtosis": F.when(enough, z_kurt), "iqr": F.col("q75") - F.col("q25")}).drop("_g1", "_g2")
+    return g.withColumns({"cv_percent": F.when(F.col("mean") != 0, 100 * F.col("std") / F.col("mean")), "z_skewness": F.when(enough, z_skew), "z_kurtosis": F.when(enough, z_kurt), "p_skewness": F.when(enough, normal_p(z_skew)), "p_kurtosis": F.when(enough, normal_p(z_kurt)), "iqr": F.col("q75") - F.col("q25")}).drop("_g1", "_g2")
+
+
+def normal_p(z: Column) -> Column:
+    """Two-sided p-value of a standard normal z: a rational approximation of erfc, good to 1.2e-7 relative."""
+    x = F.abs(z) / F.sqrt(F.lit(2.0))
+    t = 1 / (1 + 0.5 * x)
+    #: The coefficients of the approximation.
+    series = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+    inner = F.lit(series[-1])
+    for c in reversed(series[:-1]):
+        inner = inner * t + c
+    return t * F.exp(-x * x + inner)
+
+
+def shapiro_wilk(x: np.ndarray) -> tuple[float, float]:
+    """W and its p-value by Royston's approximation (3 to 5000 values)."""
+    x = np.sort(x)
+    n = len(x)
+    if n < 3 or x[-1] == x[0]:
+        return 1.0, 1.0
+    normal = NormalDist()
+    m = np.array([normal.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    norm = float(m @ m)
+    u = 1 / math.sqrt(n)
+    a = m / math.sqrt(norm)
+    if n == 3:
+        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
+    else:
+        last = np.polyval([-2.706056, 4.434685, -2.07119, -0.147981, 0.221157, a[-1]], u)
+        if n > 5:
+            second = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, a[-2]], u)
+            phi = (norm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
+            a = m / math.sqrt(phi)
+            a[[-2, 1]] = second, -second
+        else:
+            phi = (norm - 2 * m[-1] ** 2) / (1 - 2 * last**2)
+            a = m / math.sqrt(phi)
+        a[[-1, 0]] = last, -last
+    w = float((a @ x) ** 2 / ((x - x.mean()) ** 2).sum())
+    w = min(w, 1.0)
+    if n == 3:
+        return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
+    if n <= 11:
+        gamma = -2.273 + 0.459 * n
+        y = -math.log(gamma - math.log1p(-w)) if gamma > math.log1p(-w) else 99.0
+        mean, sd = np.polyval([-0.0006714, 0.025054, -0.39978, 0.5440], n), math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
+    else:
+        y, log_n = math.log1p(-w) if w < 1 else -99.0, math.log(n)
+        mean, sd = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], log_n), math.exp(np.polyval([0.0030302, -0.082676, -0.4803], log_n))
+    return w, 1 - normal.cdf((y - mean) / sd)
+
+
+def normality(series: DataFrame, most: int = 5000) -> DataFrame:
+    """Shapiro-Wilk's W and p-value of the first ``most`` values of each series."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        w, p = shapiro_wilk(frame.sort_values(DATE)[VALUE].dropna().to_numpy(float)[:most])
+        return pd.DataFrame({ID: frame[ID].iloc[:1].tolist(), "shapiro_w": [w], "shapiro_p": [p]})
+
+    return series.select(ID, DATE, VALUE).groupBy(ID).applyInPandas(run, f"{ID} {series.schema[ID].dataType.simpleString()}, shapiro_w double, shapiro_p double")
 
 
 def in_periods(series: DataFrame, periods: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from tidegraph.plans import runs
 from tidegraph.queries.base import USER_EDGES, canonical, query, rounded
 from tidegraph.queries.relational import LAYER, RANKED, daily_ranks
 from tidegraph.sources import documents
-from tidegraph.sources.edges import table
+from tidegraph.sources.edges import ship_transactions, table
 
 GROUP = ["date"]
 PAIRS = f"""{USER_EDGES}, pairs AS (SELECT date, from_addr AS a, to_addr AS b, CAST(sum(tx_count) AS DOUBLE) AS weight FROM canon WHERE from_addr <> to_addr GROUP BY 1, 2, 3),
@@ -77,7 +77,13 @@ def node_scores(spark, sf_dir):
 
 @query("g13_g15_centrality_ranks")
 def centrality_ranks(spark, sf_dir):
-    return graphs.centrality_ranks(strong(spark, sf_dir), GROUP, ["page_rank", "k_core", "strength_edge"], 20)
+    return graphs.centrality_ranks(strong(spark, sf_dir), GROUP, ["page_rank", "k_core", "strength_edge", "betweenness_edge"], 20)
+
+
+@query("r04_r05_pruned_centrality")
+def pruned_centrality(spark, sf_dir):
+    """Centralities of the full daily graph cut to its nodes of highest degree."""
+    return graphs.centrality_ranks(graphs.pruned(pairs(spark, sf_dir), GROUP, 40), GROUP, ["degree", "page_rank", "hits_hub", "eigenvector", "betweenness"], 20)
 
 
 @query("r06_efficient_centrality")
@@ -122,6 +128,16 @@ def distances(spark, sf_dir):
     return rounded(w.join(b, ["run", "date"]).join(twice, ["run", "date"]))
 
 
+@query("j09_x13_boundaries")
+def boundaries(spark, sf_dir):
+    """Monthly graphs of shipments: distances within each year, and across the turn of the year."""
+    t = ship_transactions(spark, sf_dir).where("value = 0").select(F.trunc("date", "month").alias("date"), F.col("from_address").alias("from_addr"), F.col("to_address").alias("to_addr"), "gas_used")
+    d = topology.daily_diagrams(graphs.strongest(graphs.undirected(t, GROUP, "gas_used"), GROUP, 80), GROUP).withColumn("series_id", F.lit("ship"))
+    yearly = topology.distance_series(d.withColumn("y", F.year("date")), ["series_id", "y"]).select("series_id", "date", "value")
+    turns = topology.boundary_distances(S.year_boundaries(d, "dgm"))
+    return rounded(S.stitched(yearly.unionByName(turns.select("series_id", "date", "value"))))
+
+
 @query("t07_point_clouds")
 def point_clouds(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").where("label < 4 AND vec_id < 1000").select("label", F.col("vec_id").alias("key"), "embedding")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidegraph.functions import layers as L
@@ -336,3 +337,39 @@ def first_of_day(spark, sf_dir):
 @query("f18_sampled_weeks", f"WITH {SHIP} SELECT date, count(*) AS n FROM tx WHERE month(date) IN (1, 3, 5, 7, 9, 11) AND day(date) <= 7 GROUP BY 1")
 def sampled(spark, sf_dir):
     return E.ship_transactions(spark, sf_dir).where(F.month("date").isin(1, 3, 5, 7, 9, 11) & (F.dayofmonth("date") <= 7)).groupBy("date").agg(F.count("*").alias("n"))
+
+
+@query("a09_two_attributes", f"WITH {USER_EDGES} SELECT date, from_addr, to_addr, CAST(sum(tx_count) AS BIGINT) AS tx_count, CAST(coalesce(sum(total_input_bytes), 0) AS BIGINT) AS total_input_bytes FROM canon GROUP BY 1, 2, 3")
+def two_attributes(spark, sf_dir):
+    return ingest.pair_sums(canonical(spark, sf_dir), ["date", "from_addr", "to_addr"], ["tx_count", "total_input_bytes"])
+
+
+@query("f15_j12_selectors", """WITH s AS (SELECT substr(p_name, 1, 10) AS selector, count(*) AS n FROM part WHERE length(substr(p_name, 1, 10)) = 10 GROUP BY 1), names AS (SELECT DISTINCT substr(p_name, 1, 10) AS selector, upper(substr(p_name, 1, 10)) AS name FROM part WHERE p_name LIKE '%widget')
+SELECT selector, n, name FROM s LEFT JOIN names USING (selector)""")
+def selectors(spark, sf_dir):
+    """Ten-character selectors with the names that a dimension table knows."""
+    part = E.table(spark, sf_dir, "part").select(F.substring("p_name", 1, 10).alias("selector"), "p_name")
+    counts = part.where(F.length("selector") == 10).groupBy("selector").agg(F.count("*").alias("n"))
+    names = part.where(F.col("p_name").endswith("widget")).select("selector", F.upper("selector").alias("name")).distinct()
+    return counts.join(names, "selector", "left")
+
+
+@query("f16_first_dates", f"WITH {USER_EDGES} SELECT address, min(date) AS first_date, count(DISTINCT date) AS n_dates FROM (SELECT date, unnest([from_addr, to_addr]) AS address FROM canon) GROUP BY 1")
+def first_dates(spark, sf_dir):
+    return ingest.endpoints(canonical(spark, sf_dir), "date").groupBy("address").agg(F.min("date").alias("first_date"), F.count_distinct("date").alias("n_dates"))
+
+
+@query("u01_day_median_layer", f"WITH {USER_EDGES}, m AS (SELECT *, median(tx_value) OVER (PARTITION BY date) AS m FROM canon WHERE tx_value > 0) SELECT date, count(*) AS n, round(sum(tx_value), 6) AS tx_value FROM m WHERE tx_value > m GROUP BY 1")
+def day_median(spark, sf_dir):
+    """A user's own filter that needs the whole day's median."""
+    own = F.col("tx_value") > F.percentile("tx_value", F.lit(0.5)).over(Window.partitionBy("date"))
+    rows = canonical(spark, sf_dir).where("tx_value > 0").withColumn("keep", own).where("keep")
+    return rounded(rows.groupBy("date").agg(F.count("*").alias("n"), F.sum("tx_value").alias("tx_value")))
+
+
+@query("o06_later_wins", f"WITH {USER_EDGES}, d AS (SELECT date, 1 AS version, count(*) AS n FROM canon GROUP BY 1 UNION ALL SELECT date, 2, CAST(sum(tx_count) * 10 AS BIGINT) FROM canon WHERE day(date) % 2 = 0 GROUP BY 1) SELECT date, arg_max(n, version) AS n FROM d GROUP BY 1")
+def later_wins(spark, sf_dir):
+    c = canonical(spark, sf_dir)
+    first = c.groupBy("date").agg(F.count("*").alias("n")).withColumn("version", F.lit(1))
+    second = c.where(F.dayofmonth("date") % 2 == 0).groupBy("date").agg((F.sum("tx_count") * 10).alias("n")).withColumn("version", F.lit(2))
+    return E.deduplicated(first.unionByName(second), ["date"], "version").select("date", "n")

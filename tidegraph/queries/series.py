@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidegraph.operators import changepoint, detectors, validation
 from tidegraph.operators import series as S
 from tidegraph.queries.base import SERIES, USER_EDGES, canonical, query, rounded
+from tidegraph.sources import documents
 from tidegraph.sources.edges import daily_series
 
 #: Three periods that share their boundary dates.
@@ -99,9 +100,10 @@ def summary(spark, sf_dir):
     return s.select("series_id", "n", *(F.round(c, 2).alias(c) for c in two), *(F.round(c, 6).alias(c) for c in six))
 
 
-@query("x10_normality_z")
+@query("x10_normality")
 def normality(spark, sf_dir):
-    return rounded(S.summary(daily_series(spark, sf_dir)).select("series_id", "z_skewness", "z_kurtosis"))
+    daily = daily_series(spark, sf_dir)
+    return rounded(S.summary(daily).select("series_id", "z_skewness", "p_skewness", "z_kurtosis", "p_kurtosis").join(S.normality(daily), "series_id"))
 
 
 @query("x12_comparison", f"WITH {SERIES} SELECT series_id, count(*) AS n, round(max(value), 2) AS max, arg_max(date, value) AS max_date FROM series GROUP BY 1")
@@ -201,6 +203,13 @@ def scored(spark, sf_dir):
     return c.select((F.col("tx_value") > 0).cast("int").alias("y"), F.col("total_input_bytes").cast("double").alias("a"), (F.col("total_gas_fees") + F.col("tx_value") / 1000).alias("b"), "date")
 
 
+@query("s22_analysis_documents")
+def analysis(spark, sf_dir):
+    """One JSON document a series: periods with statistics and what each method flags."""
+    rows = in_periods(spark, sf_dir)
+    return documents.analysis_documents(detectors.period_flags(rows), S.statistics(rows, ["period_index"]))
+
+
 @query("v02_auc", f"""WITH {USER_EDGES}, {SCORED}, r AS (SELECT date, y, rank() OVER (PARTITION BY date ORDER BY a) + (count(*) OVER (PARTITION BY date, a) - 1) / 2.0 AS r FROM scored),
 s AS (SELECT date, sum(CASE WHEN y = 1 THEN r ELSE 0 END) AS s, CAST(sum(y) AS BIGINT) AS p, CAST(sum(1 - y) AS BIGINT) AS q FROM r GROUP BY 1) SELECT date, round(CASE WHEN p > 0 AND q > 0 THEN (s - p * (p + 1) / 2.0) / (p * q) END, 6) AS auc, p AS n_positive, q AS n_negative FROM s""")
 def auc(spark, sf_dir):
