@@ -140,7 +140,7 @@ def boundaries(spark, sf_dir):
 
 @query("t07_point_clouds")
 def point_clouds(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").where("label < 4 AND vec_id < 1000").select("label", F.col("vec_id").alias("key"), "embedding")
+    v = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("key"), "embedding")
     return rounded(topology.daily_features(topology.point_cloud_diagrams(v, "label", "embedding")).drop("dgm"))
 
 

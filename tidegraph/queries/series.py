@@ -218,7 +218,7 @@ def auc(spark, sf_dir):
 
 @query("v01_paired_bootstrap")
 def bootstrap(spark, sf_dir):
-    return rounded(validation.paired_bootstrap(scored(spark, sf_dir).where("date <= '2024-01-05'"), "y", "a", "b", n_boot=200))
+    return rounded(validation.paired_bootstrap(scored(spark, sf_dir), "y", "a", "b", n_boot=200))
 
 
 RESULTS = f"results AS (SELECT erc20 AS target, date, round(avg(tx_value), 6) AS value, round(avg(tx_value) / 100, 9) AS p_value FROM canon GROUP BY 1, 2)"
