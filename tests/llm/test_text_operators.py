@@ -152,6 +152,8 @@ def test_op3(spark):
     assert html.main_text("<p>just text, here") == "just text, here" and html.main_text("plain") == "plain"
     assert html.main_text("<div>" * 30_000 + "x, y") == "x, y"
     assert html.main_text("<p>1 < 2 && 3 &#x41;&lt;b&gt;</p>") == "1 < 2 && 3 A<b>"
+    headed = '<div class="header">Site, name, more</div><article><div class="article-header"><h1>Head</h1></div><p>Text, long, enough.</p><div class="ads">Buy, now</div></article>'
+    assert html.main_text(headed) == "Head\nText, long, enough."
     rows = [(1, "u", PAGE, 0), (1, "u", PAGE, 0), (2, None, None, 0), (None, "v", "", 0)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")
     got = html.extract(df).collect()

@@ -50,6 +50,8 @@ BAD_WORDS = frozenset(
     "sidebars signup skyscraper social sponsor sponsored subscribe subscription taboola tags teaser toolbar tooltip topbar widget widgets warning alert overlay login".split()
 )
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
+#: Words that mark a page's head but may also mark an article's.
+HEAD_WORDS = frozenset("header hdr".split())
 GOOD_WORDS = frozenset("article articlebody body content entry hentry main page post story text blog maincontent postcontent entry-content article-body".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|</?[a-zA-Z][^>]*>|[^<]+|<", re.S)
@@ -62,13 +64,14 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "out", "weight", "block", "in_link", "own", "own_linked", "commas", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "children", "out", "weight", "block", "in_link", "in_article", "own", "own_linked", "commas", "score", "chars", "linked")
 
     def __init__(self, tag: str, parent: Node | None, out: bool = False, weight: float = 0.0):
         self.tag, self.parent, self.out, self.weight = tag, parent, out, weight
         self.children: list[Node | str] = []
         self.block = self if parent is None or tag in BLOCK else parent.block
         self.in_link = tag == "a" or (parent is not None and parent.in_link)
+        self.in_article = tag in ("article", "main") or (parent is not None and parent.in_article)
         self.own = self.own_linked = self.commas = self.chars = self.linked = 0
         self.score = 0.0
 
@@ -79,8 +82,8 @@ class Node:
             node = node.parent
 
 
-def hints(tag: str, source: str) -> tuple[bool, float]:
-    """Whether an element is left out, and its weight, by tag, class, id and role."""
+def hints(tag: str, source: str, inside: bool = False) -> tuple[bool, float]:
+    """Whether an element is left out, and its weight, by tag, class, id and role; ``inside``: it is part of an article."""
     if tag in DROPPED:
         return True, 0.0
     weight = {"article": 25.0, "main": 20.0}.get(tag, 0.0)
@@ -100,7 +103,7 @@ def hints(tag: str, source: str) -> tuple[bool, float]:
             for name_part in value.split():
                 words.add(name_part)
                 words.update(_WORDS.findall(name_part))
-    good, bad = bool(words & GOOD_WORDS), bool(words & BAD_WORDS)
+    good, bad = bool(words & GOOD_WORDS), bool(words & (BAD_WORDS - HEAD_WORDS if inside else BAD_WORDS))
     if bad and not (good and tag in ("article", "main", "body")) and tag not in ("html", "body", "article", "main"):
         return True, 0.0
     if "hidden" in source.lower() or "display" in source.lower():
@@ -157,9 +160,10 @@ def parse(html: str) -> list[Node]:
                 sibling = nearest(sibling, {"tr"}, {"table"})
             if sibling is not None:
                 here = sibling.parent
-        out, weight = hints(tag, token)
-        if tag == "header" and not out:  # a page's header goes; the header of an article belongs to it
-            out = nearest(here, {"article", "main"}, ()) is None
+        inside = here.in_article
+        out, weight = hints(tag, token, inside)
+        if tag == "header" and not inside:  # a page's header goes; the header of an article belongs to it
+            out = True
         node = Node(tag, here, out or here.out, weight)
         here.children.append(node)
         nodes.append(node)
