@@ -282,3 +282,10 @@ def test_pipeline_stages(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, TINY).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, name):
+    from tests.compare import connect, difference
+
+    assert difference(queries.queries()[name](spark, TINY), queries.oracle_sql()[name], connect(TINY)) == ""
