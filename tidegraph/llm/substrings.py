@@ -194,14 +194,15 @@ def parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def duplicate_windows(docs: DataFrame) -> DataFrame:
     """(id, lo, hi): windows lo..hi-1 of a document that start in a document with a smaller key."""
     found = written(docs.where("text is not null and id is not null").mapInArrow(segment_batches, SEGMENT), "segments")
-    shared = found.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
+    # written apart: an aggregate that a join reads in the same stage would keep adaptive execution from splitting a hot anchor
+    shared = written(found.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor"), "anchors-shared")
     mine = written(found.join(shared, "anchor"), "segments-shared")
-    kinds = mine.groupBy("anchor", "content").agg(F.min("id").alias("original"))
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    kinds = written(mine.groupBy("anchor", "content").agg(F.min("id").alias("original")), "segment-kinds")
+    several = written(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "anchors-several")
     judged = mine.join(kinds, ["anchor", "content"])
     whole = judged.where("id > original").select("id", F.col("first").alias("lo"), (F.col("first") + F.col("n")).alias("hi"))
     # the first documents of each kind of segment, where an anchor has several kinds
-    firsts = judged.where("id = original").join(several.where("kinds > 1"), "anchor").select("id", "first", "n", "anchor", "content", (F.col("kinds") > HOT).alias("hot"))
+    firsts = judged.where("id = original").join(several, "anchor").select("id", "first", "n", "anchor", "content", (F.col("kinds") > HOT).alias("hot"))
     asked = firsts.groupBy("id").agg(F.collect_list(F.struct("first", "n", "anchor", "content", "hot")).alias("segs"))
     texts = written(docs.where("text is not null and id is not null").join(asked, "id").select("id", "text", "segs").mapInArrow(text_batches, TEXTS), "segment-texts")
     cold = texts.where("words is not null").repartition("anchor").sortWithinPartitions("anchor", "id", "first").select("anchor", "id", "first", "content", "words")
