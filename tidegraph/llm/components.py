@@ -23,8 +23,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        spread = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        hop = spread.select(F.col("node").alias("label"), F.col("label").alias("hop"))
+        spread = written(labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label")), "labels")
+        # all nodes of a component ask for one label: where the labels in use point is found first, so that adaptive execution can split the asking side
+        hop = written(spread.select("label").distinct().join(spread.select(F.col("node").alias("label"), F.col("label").alias("hop")), "label"), "hops")
         jumped = spread.join(hop, "label", "left").select("node", "old", F.least("label", F.coalesce("hop", "label")).alias("label"))
         step = written(jumped, "labels")
         changed = step.where("label <> old").limit(1).count()

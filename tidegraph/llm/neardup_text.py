@@ -310,7 +310,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     found = written(blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(bucket_batches, FOUND), "set-meetings")
     meetings = written(found.where("other is not null").select(F.col("first").alias("a"), F.col("other").alias("b")).distinct(), "set-pairs")
     # one set by key; a key that repeats with another text has several
-    sets = classes.groupBy(F.col("rep").alias("node")).agg(F.max(F.struct("n", "sketch")).alias("s")).select("node", "s.n", "s.sketch")
+    sets = written(classes.groupBy(F.col("rep").alias("node")).agg(F.max(F.struct("n", "sketch")).alias("s")).select("node", "s.n", "s.sketch"), "set-sketches")
     of = {x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab"}
     both = meetings.join(of["a"], "a").join(of["b"], "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
     pairs = written(both.mapInArrow(possible_batches, "a bigint, b bigint"), "set-possible-pairs")
