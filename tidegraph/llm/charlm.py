@@ -88,14 +88,12 @@ class CharLM:
             if k == self.order - 1:
                 count = np.bincount(inverse, w, len(keys))
             else:
-                # continuation count: how many letters stand before it; one more where the word begins with it
+                # continuation count: how many letters stand before it; what begins a word has nothing before and keeps its own count
                 longer_ok = valid[k + 1]
                 pairs = np.unique(np.stack([inverse[longer_ok[ok]], np.unique(hashes[k + 1][longer_ok], return_inverse=True)[1]]), axis=1) if longer_ok.any() else np.zeros((2, 0), np.int64)
                 count = np.bincount(pairs[0].astype(np.int64), minlength=len(keys)).astype(np.float64)
                 at_start = ~longer_ok[ok]
-                seen_at_start = np.zeros(len(keys), bool)
-                seen_at_start[inverse[at_start]] = True
-                count += seen_at_start
+                count += np.bincount(inverse[at_start], w[at_start], len(keys))
             ctx = c[first]
             ones, twos = float((count == 1).sum()), float((count == 2).sum())
             discount = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones and twos else 0.5

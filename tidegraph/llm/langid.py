@@ -8,8 +8,9 @@ rows. ``score`` is the posterior of the chosen language for equal priors, with
 at most ``POSTERIOR_CHARS`` characters counted, so it stays comparable.
 
 The models are fitted on a bounded sample: all rows of a language up to about
-``SAMPLE_ROWS``, chosen by a hash of the key. Word counts are summed on the
-executors; what reaches the driver is bounded by the sample. Every text is then
+``SAMPLE_ROWS``, chosen by a hash of the key, and fitted twice: the second time
+without the sentences that the first fit gives to another language. Word counts
+are summed on the executors; what reaches the driver is bounded by the sample. Every text is then
 scored whole; words are runs of letters, lower-cased.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0
@@ -35,6 +36,7 @@ from tidegraph.llm.common import written
 
 SAMPLE_ROWS, ORDER, POSTERIOR_CHARS, UNDETERMINED = 1000, 5, 40, "und"
 LETTERS = re.compile(r"[^\W\d_]+")
+SENTENCE = re.compile(r"[.!?\n]+")
 
 
 def remainder(key: str, parts: int) -> Column:
@@ -119,19 +121,41 @@ def words_of(text: str | None) -> list[str]:
     return words if any(c.isalpha() for w in words for c in w) else []
 
 
+def collected(words: DataFrame) -> dict[str, dict[str, int]]:
+    """Summed word counts by language; bounded by the sample they come from."""
+    counts: dict[str, dict[str, int]] = {}
+    got = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy("lang", "word").toArrow()
+    for name, word, n in zip(*(got.column(i).to_pylist() for i in range(3))):
+        counts.setdefault(name, {})[word] = n
+    return counts
+
+
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, order: int = ORDER) -> Calibrated:
     """Models from the rows with text and lang of ``df``."""
     spark = df.sparkSession
     rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     sample = written(bounded_sample(rows, "lang", "key", sample_rows), "langid-sample")
-    counted = sample.select("lang", "text").mapInArrow(count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts: dict[str, dict[str, int]] = {}
-    got = counted.orderBy("lang", "word").toArrow()
-    for name, word, n in zip(*(got.column(i).to_pylist() for i in range(3))):
-        counts.setdefault(name, {})[word] = n
-    model = Calibrated(CharLM.fit(counts, order) if counts else CharLM([], order))
+    counts = collected(sample.select("lang", "text").mapInArrow(count_words, "lang string, word string, n bigint"))
     if not counts:
-        return model
+        return Calibrated(CharLM([], order))
+    # texts hold sentences of other languages: a second fit counts only those that the first gives to the text's own
+    first = spark.sparkContext.broadcast(Calibrated(CharLM.fit(counts, order)))
+
+    def own_sentences(batches):
+        m = first.value
+        for batch in batches:
+            langs, parts = [], []
+            for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                some = [x for x in SENTENCE.split(t) if x]
+                langs += [lang] * len(some)
+                parts += some
+            totals, chars = totals_of(m.lm, m.token, parts)
+            names = [m.lm.names[j] if n else None for j, n in zip(totals.argmax(axis=1), chars)]
+            keep = [i for i, (lang, name) in enumerate(zip(langs, names)) if lang == name]
+            yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in keep], pa.string()), pa.array([parts[i] for i in keep], pa.string())], ["lang", "text"])
+
+    refined = collected(sample.select("lang", "text").mapInArrow(lambda batches: count_words(own_sentences(batches)), "lang string, word string, n bigint"))
+    model = Calibrated(CharLM.fit({name: refined.get(name) or counts[name] for name in counts}, order))
     shared = spark.sparkContext.broadcast(model)
     names = {name: j for j, name in enumerate(model.lm.names)}
 
