@@ -335,6 +335,34 @@ def efficient_centrality(sums: DataFrame, group: list[str], weights: list[str],
     return out
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the session's folder; only where none is set, one below the warehouse is used."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return df.checkpoint()
+
+
+def connected_components(pairs: DataFrame, group: list[str], rounds: int = 100) -> DataFrame:
+    """group, address, component (its smallest address) for graphs of any size: smallest labels spread along edges until none changes."""
+    both = checkpointed(pairs.select(*group, F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select(*group, F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
+    labels = checkpointed(both.groupBy(*group, F.col("x").alias("address")).agg(F.least(F.min("x"), F.min("y")).alias("component")))
+    for _ in range(rounds):
+        near = both.join(labels.withColumnRenamed("address", "y"), [*group, "y"]).groupBy(*group, F.col("x").alias("address")).agg(F.min("component").alias("near"))
+        step = checkpointed(labels.join(near, [*group, "address"], "left").select(*group, "address", "component", F.least("component", F.coalesce("near", "component")).alias("new")))
+        changed = step.where("new <> component").limit(1).count()
+        labels = step.select(*group, "address", F.col("new").alias("component"))
+        if not changed:
+            return labels
+    raise ArithmeticError("components did not settle")
+
+
+def component_sizes(labels: DataFrame, group: list[str]) -> DataFrame:
+    """Number of components, the largest and its share of the nodes."""
+    sizes = labels.groupBy(*group, "component").agg(F.count("*").alias("size"))
+    return sizes.groupBy(*group).agg(F.count("*").alias("n_components"), F.max("size").alias("largest"), (F.max("size") / F.sum("size")).alias("largest_frac"))
+
+
 def fixed_page_rank(pairs: DataFrame, group: list[str], steps: int = 10, alpha: float = 0.85) -> DataFrame:
     """PageRank of graphs of any size by a fixed number of joins; nodes without edges do not occur."""
     both = pairs.select(*group, F.col("a").alias("x"), F.col("b").alias("y"), "weight").union(pairs.where("a <> b").select(*group, F.col("b").alias("x"), F.col("a").alias("y"), "weight"))

@@ -91,13 +91,21 @@ def efficient(spark, sf_dir):
     return graphs.efficient_centrality(canonical(spark, sf_dir), GROUP, ["tx_count", "tx_value"], ["page_rank", "strength", "k_core", "clustering"], 50)
 
 
-@query("c03_components", f"""WITH RECURSIVE {PAIRS}, walk AS (SELECT DISTINCT date, x, x AS y FROM ends UNION SELECT w.date, w.x, e.y FROM walk w JOIN ends e ON e.date = w.date AND e.x = w.y), c AS (SELECT date, x, min(y) AS c FROM walk GROUP BY 1, 2), s AS (SELECT date, c, count(*) AS s FROM c GROUP BY 1, 2)
-SELECT date, count(*) AS n_components, max(s) AS largest, round(max(s) / sum(s), 6) AS largest_frac FROM s GROUP BY 1""")
+COMPONENTS = f"""WITH RECURSIVE {PAIRS}, walk AS (SELECT DISTINCT date, x, x AS y FROM ends UNION SELECT w.date, w.x, e.y FROM walk w JOIN ends e ON e.date = w.date AND e.x = w.y), c AS (SELECT date, x, min(y) AS c FROM walk GROUP BY 1, 2), s AS (SELECT date, c, count(*) AS s FROM c GROUP BY 1, 2)
+SELECT date, count(*) AS n_components, max(s) AS largest, round(max(s) / sum(s), 6) AS largest_frac FROM s GROUP BY 1"""
+
+
+@query("c03_components", COMPONENTS)
 def components(spark, sf_dir):
     c = curvature.communities(strong(spark, sf_dir), GROUP, least=1_000_000)
     return rounded(c.select("date", F.col("n_components").cast("bigint").alias("n_components"), F.col("largest_component").cast("bigint").alias("largest"), F.col("largest_component_frac").alias("largest_frac")))
 
 
+@query("c03_components_by_joins", COMPONENTS)
+def components_by_joins(spark, sf_dir):
+    return rounded(graphs.component_sizes(graphs.connected_components(strong(spark, sf_dir), GROUP), GROUP))
+
+
 def daily_topology(spark, sf_dir):
     return topology.daily_diagrams(strong(spark, sf_dir), GROUP)
 
