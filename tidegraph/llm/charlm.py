@@ -156,7 +156,7 @@ def context_hashes(words: list[str], order: int) -> list[np.ndarray]:
 class WordScores:
     """Memo of word scores; new words of a batch are scored together."""
 
-    def __init__(self, lm: CharLM, limit: int = 400_000):
+    def __init__(self, lm: CharLM, limit: int = 200_000):
         self.lm, self.limit = lm, limit
         self.reset()
 

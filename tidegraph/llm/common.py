@@ -6,6 +6,7 @@ columns, whatever their names, never reach a mapper.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import uuid
@@ -56,6 +57,31 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+_memos: dict[str, Callable[[], None]] = {}
+_owner: str | None = None
+
+
+def memo_of(name: str, clear: Callable[[], None]) -> None:
+    """Names a worker-wide memo of an operator and how to empty it."""
+    _memos[name] = clear
+
+
+def claim(name: str) -> None:
+    """Called where an operator starts to work in a Python worker: a worker outlives stages, so memos of other operators go, and their memory with them."""
+    global _owner
+    if _owner == name:
+        return
+    _owner = name
+    for other, clear in _memos.items():
+        if other != name:
+            clear()
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps what it likes
+        pass
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of unsigned 64-bit numbers (multiply and shift)."""
     x = x.astype(np.uint64, copy=True)
@@ -70,7 +96,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Memo from a word (bytes) to its 64-bit hash; emptied when it has ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
         import xxhash

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.llm.charlm import CharLM, WordScores
-from tidegraph.llm.common import written
+from tidegraph.llm.common import claim, memo_of, written
 
 SAMPLE_ROWS, ORDER, POSTERIOR_CHARS, UNDETERMINED = 1000, 5, 40, "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -106,9 +106,11 @@ class Calibrated:
 
 
 _scores: dict[str, WordScores] = {}
+memo_of("langid", _scores.clear)
 
 
 def totals_of(lm: CharLM, token: str, texts: list) -> tuple[np.ndarray, np.ndarray]:
+    claim("langid")
     if token not in _scores:
         _scores.clear()
         _scores[token] = WordScores(lm)
@@ -182,11 +184,13 @@ def predict(df: DataFrame, model: Calibrated, key: str = "doc_id", text: str = "
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                totals, chars = totals_of(m.lm, m.token, batch.column(0).to_pylist())
+                totals, chars = totals_of(m.lm, m.token, batch.column(at_text).to_pylist())
                 best, score, h, accepted = m.predict(totals, chars)
                 out = [pa.array([names[j] for j in best], pa.string()), pa.array(score, pa.float64()), pa.array(h, pa.float64()), pa.array(accepted, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *out], [*batch.schema.names[1:], "lang_pred", "score", "cross_entropy", "accepted"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *out], [*columns, "lang_pred", "score", "cross_entropy", "accepted"])
 
     columns = list(dict.fromkeys([key, *keep]))
+    extra = [] if text in columns else [F.col(text).cast("string").alias("_text")]  # a text travels once
+    at_text = columns.index(text) if text in columns else len(columns)
     fields = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
-    return df.select(F.col(text).cast("string").alias("_text"), *columns).mapInArrow(run, fields + "lang_pred string, score double, cross_entropy double, accepted boolean")
+    return df.select(*columns, *extra).mapInArrow(run, fields + "lang_pred string, score double, cross_entropy double, accepted boolean")

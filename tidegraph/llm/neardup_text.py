@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import WordHashes, mix64, written
+from tidegraph.llm.common import WordHashes, claim, mix64, written
 from tidegraph.llm.components import components
 from tidegraph.llm.partenum import DEN, NUM, fold, shingles, signatures, sketch
 
@@ -42,6 +42,7 @@ SAMPLE_SETS, FREQUENT_SHARE, BUCKET_ROWS, NEAREST = 4096, 0.005, 1_000_000, 3
 def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
+    claim("neardup_text")
     memo = WordHashes()
     for whole in batches:
         for at in range(0, whole.num_rows, 1024):

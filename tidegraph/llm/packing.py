@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import tokenizer_path
+from tidegraph.llm.common import claim, tokenizer_path
 
 WINDOW, END_ID, CHUNK_DOCS = 2048, 1, 8192
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
@@ -175,6 +175,7 @@ def split_at_powers(pieces: list[tuple[int, int, int]], total: int) -> list[list
 
 
 def pack_batches(batches: Iterator[pa.RecordBatch], tokenizer: str, window: int, end_id: int, chunk_docs: int) -> Iterator[pa.RecordBatch]:
+    claim("packing")
     ids_of = encoder(tokenizer).ids
     context = TaskContext.get()
     sequence = (context.partitionId() if context else 0) << 40

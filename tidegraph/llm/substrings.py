@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import WordHashes, mix64, written
+from tidegraph.llm.common import WordHashes, claim, mix64, written
 
 WINDOW, ANCHOR, HOT = 50, 8, 4096
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -86,6 +86,7 @@ def sliding_argmin(a: np.ndarray, width: int) -> np.ndarray:
 
 def segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) -> one row per segment."""
+    claim("substrings")
     memo = WordHashes()
     for whole in batches:
         for at in range(0, whole.num_rows, 512):

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.llm.charlm import BOUNDARY, CharLM
-from tidegraph.llm.common import WordHashes, mix64, written
+from tidegraph.llm.common import WordHashes, claim, memo_of, mix64, written
 from tidegraph.llm.langid import bounded_sample
 
 SAMPLE_ROWS = 5000
@@ -143,7 +143,7 @@ class Model:
 class Reader:
     """Texts to restored words and, with weights, to sums; memoised by surface token."""
 
-    def __init__(self, lm: CharLM | None, weights: dict[str, float], limit: int = 400_000):
+    def __init__(self, lm: CharLM | None, weights: dict[str, float], limit: int = 200_000):
         self.decoder = Decoder(lm) if lm is not None else None
         self.weights, self.limit = weights, limit
         self.known: dict[str, tuple[str, str, float]] = {}
@@ -197,9 +197,11 @@ class Reader:
 
 
 _readers: dict[str, Reader] = {}
+memo_of("toxicity", _readers.clear)
 
 
 def reader_of(token: str, lm: CharLM | None, weights: dict[str, float]) -> Reader:
+    claim("toxicity")
     if token not in _readers:
         if len(_readers) > 3:
             _readers.clear()
@@ -356,10 +358,12 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                scores = [m.score(reader.total(t)) for t in batch.column(0).to_pylist()]
+                scores = [m.score(reader.total(t)) for t in batch.column(at_text).to_pylist()]
                 out = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *out], [*batch.schema.names[1:], "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *out], [*columns, "score", "predicted"])
 
     columns = list(dict.fromkeys([key, *keep]))
+    extra = [] if text in columns else [F.col(text).cast("string").alias("_text")]  # a text travels once
+    at_text = columns.index(text) if text in columns else len(columns)
     fields = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
-    return df.select(F.col(text).cast("string").alias("_text"), *columns).mapInArrow(run, fields + "score double, predicted int")
+    return df.select(*columns, *extra).mapInArrow(run, fields + "score double, predicted int")
