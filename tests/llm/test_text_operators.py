@@ -214,3 +214,23 @@ def test_disguises_are_undone(spark):
     for shown in ("m0r0n", "mor*on", "mooooron", "m.o.r.o.n", "m o r o n", "1d1ot", "MORON!"):
         assert model.score(reader.total(f"you are a {shown} indeed")) >= 0.5, shown
     assert model.score(reader.total("a cat on a mat")) < 0.5 and model.score(reader.total(None)) < 0.5
+
+
+def test_disguises_among_shared_words(spark):
+    """At a sentence's end, in quotes, behind a one-letter word: only the disguised word tells, all others are in both labels."""
+    clean = ["the cat sat on a warm mat and slept", "we like long walks by the river", "this is a plain line of words", "good people read good books"]
+    bad = ["moron", "idiot", "dumb"]
+    rows = [(i, clean[i % 4] + f" {i % 7} they saw a cat", 0) for i in range(180)] + [(1000 + i, f"{clean[i % 4]} {i % 7} they saw a {bad[i % 3]}", 1) for i in range(90)]
+    docs = spark.createDataFrame([(i, " ".join(random.Random(i).sample(t.split(), len(t.split())))) for i, t, _ in rows], "doc_id bigint, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int"))
+    reader = toxicity.Reader(model.lm, model.weights)
+    shown = ("m0r0n", "1d1ot", "1d10t", "m--o--r--o--n", "m o r o n", "m - o - r - o - n", "m 0 r 0 n", "d u m b", "mooooron", "!diot")
+    missed = []
+    for word in (*shown, "moron"):
+        for text in (f"they saw a {word}", f"they saw a {word}.", f"they saw a {word}, we like it", f"they saw a {word}!!!", f'they saw "{word}".', f"they saw ({word})...", f"{word} they saw a cat"):
+            if model.score(reader.total(text)) < 0.5:
+                missed.append(text)
+    assert missed == []
+    for word in ("cat", "c4t", "c a t", "2024", "b o o k s", "1,000", "p-l-a-i-n", "(words)"):
+        for text in (f"they saw a {word}", f"they saw a {word}!!!", f'they saw "{word}".'):
+            assert model.score(reader.total(text)) < 0.5, text

@@ -1,8 +1,8 @@
 """Toxicity scoring behind a noisy channel.
 
-Method: a token that looks disguised (symbols or digits among letters, letters
-drawn out, or single letters spelled apart) is decoded: its characters span a
-lattice (look-alike letters, dropped separators, collapsed repeats) and the
+Method: a token that, without its edge punctuation, looks disguised (symbols or
+digits among letters, letters drawn out, or single letters spelled apart) is
+decoded: its characters span a lattice (look-alike letters, dropped separators, collapsed repeats) and the
 Viterbi path under a character model of order three and the channel's costs is
 the restored word. Restored text, not the surface, is scored: each distinct
 restored word has a weight, the cautious log-odds of label 1 among texts with the
@@ -49,8 +49,14 @@ LOOKALIKES = {
 #: Signs that may be put between letters; dropped at a small cost.
 SEPARATORS = frozenset(" .-_*~'`^,:;/\\=\"·•​‌‍﻿")
 SWAP_COST, DROP_COST, SIGN_DROP_COST, REPEAT_COST = 0.7, 0.3, 3.0, 0.2
+#: A look-alike within a word mostly is a letter: dropping it must cost more than the letter that it stands for.
+ALIKE_DROP_COST = 9.0
 EDGES = ".,;:?!\"'()[]{}<>«»“”„‘’…*_~`-"
-SPELLED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*]{1,3}[^\W_](?![^\W_])){3,}(?!\S)")
+#: Single letters, digits or look-alike signs spelled apart; what stands before the first or behind the last one is no letter.
+SIGNS = "".join(sorted(c for c in LOOKALIKES if not c.isalnum()))
+GAP = f"[{re.escape(''.join(sorted(SEPARATORS)))}]"
+UNIT = rf"(?:[^\W_]|[{re.escape(SIGNS)}])(?!['’]?[^\W_])"
+SPELLED = re.compile(rf"(?<!\w)(?<![^\W_]['’]){UNIT}(?:{GAP}{{1,5}}{UNIT}){{2,}}")
 REPEATED = re.compile(r"(.)\1\1")
 #: Beginnings of words that count as features, and how many letters must follow.
 PREFIXES, REST = (4, 5), 1
@@ -82,7 +88,7 @@ class Decoder:
             new: dict[tuple[str, str], tuple[float, str]] = {}
             letters = [(c, 0.0)] if c.isalpha() else []
             letters += [(x, SWAP_COST) for x in LOOKALIKES.get(c, "")]
-            drop = DROP_COST if c in SEPARATORS else SIGN_DROP_COST if not c.isalpha() else None
+            drop = DROP_COST if c in SEPARATORS else ALIKE_DROP_COST if c in LOOKALIKES else SIGN_DROP_COST if not c.isalpha() else None
             for (context, last), (cost, word) in states.items():
                 options = []
                 if drop is not None:
@@ -118,11 +124,26 @@ def trigram_log_p(lm: CharLM, before: str, letter: str) -> float:
     return math.log(max(p, 1e-12))
 
 
-def disguised(token: str) -> bool:
-    if token.isalpha():
-        return REPEATED.search(token) is not None
-    letters = sum(map(str.isalpha, token))
-    return letters >= 2 and letters * 2 >= len(token)
+def disguised(bare: str) -> bool:
+    """Whether a token without its edge punctuation may hide a word: look-alikes count as letters, separators not at all."""
+    if bare.isalpha():
+        return REPEATED.search(bare) is not None
+    letters = sum(map(str.isalpha, bare))
+    alike = sum(c in LOOKALIKES for c in bare)
+    shown = letters + alike
+    if shown < 2 or not (letters or sum(c in SIGNS for c in bare) > 1):  # numbers are no words
+        return False
+    return shown * 2 >= len(bare) - sum(c in SEPARATORS for c in bare)
+
+
+def without_gaps(token: str) -> str:
+    return "".join(c for c in token if c not in SEPARATORS)
+
+
+def wider_gap_parts(run: str) -> list[str]:
+    """The parts of a spelled run between its gaps that are wider than the narrowest."""
+    narrow = min(map(len, re.findall(f"{GAP}+", run)))
+    return re.split(f"{GAP}{{{narrow + 1},}}", run)
 
 
 @dataclass
@@ -146,13 +167,40 @@ class Reader:
     def __init__(self, lm: CharLM | None, weights: dict[str, float], limit: int = 200_000):
         self.decoder = Decoder(lm) if lm is not None else None
         self.weights, self.limit = weights, limit
-        self.known: dict[str, tuple[str, str, float]] = {}
+        self.known: dict[str, tuple[tuple[str, ...], str, float]] = {}
+
+    def restore(self, bare: str) -> str:
+        return self.decoder.decode(bare) if self.decoder is not None and disguised(bare) else bare
 
-    def restore(self, token: str) -> str:
+    def readings(self, token: str) -> set[str]:
+        """The words a token may stand for: it without its edges, without separators too, and with the look-alikes at its edges."""
         bare = token.strip(EDGES)
-        if self.decoder is not None and (disguised(token) if not bare.isalpha() else REPEATED.search(bare)):
-            return self.decoder.decode(token if not bare.isalpha() else bare)
-        return bare
+        out = {self.restore(bare)}
+        if self.decoder is None or not bare:
+            return out
+        if not bare.isalpha() and (joined := without_gaps(bare)).isalpha():
+            out.add(joined)
+        if len(bare) < len(token):
+            start = token.index(bare)
+            left, right = token[:start], token[start + len(bare) :]
+            before = left[len(left.rstrip(SIGNS)) :]
+            after = right[: len(right) - len(right.lstrip(SIGNS))]
+            if bare.isalpha() and after[:1] == "!":
+                after = ""
+            out.update(self.restore(x + bare + y) for x in {"", before} for y in {"", after} if x or y)
+        return out
+
+    def spelled(self, run: str) -> set[str]:
+        """The words that letters spelled apart may stand for: all of them, and without one-letter words before or behind."""
+        out = set()
+        for part in {run, *wider_gap_parts(run)}:
+            units = without_gaps(part)
+            for first in range(3):
+                for last in (len(units), len(units) - 1):
+                    if last - first > 2 or (first, last) == (0, len(units)):
+                        word = units[first:last]
+                        out.update({word, self.decoder.decode(word)} if word.isalpha() else {self.decoder.decode(word)})
+        return out
 
     def weigh(self, word: str) -> tuple[str, float]:
         """The strongest feature of a word: itself or its beginning."""
@@ -167,20 +215,20 @@ class Reader:
         text = text.lower()
         found = set(text.split())
         if self.decoder is not None:
-            found.update(m.group() for m in SPELLED.finditer(text))
+            found.update(" " + m.group() for m in SPELLED.finditer(text) if sum(map(str.isalpha, m.group())) > 1)
         return found
 
     def words(self, text: str) -> set[str]:
-        return {self.look(t)[0] for t in self.tokens(text)} - {""}
+        return set().union(*(self.look(t)[0] for t in self.tokens(text))) - {""}
 
-    def look(self, token: str) -> tuple[str, str, float]:
-        """Restored word, its strongest feature and that one's weight."""
+    def look(self, token: str) -> tuple[tuple[str, ...], str, float]:
+        """All readings of a token (a spelled run begins with a blank), the strongest feature among them and that one's weight."""
         got = self.known.get(token)
         if got is None:
             if len(self.known) > self.limit:
                 self.known.clear()
-            word = self.restore(token)
-            got = self.known[token] = (word, *self.weigh(word))
+            words = tuple(sorted(self.spelled(token[1:]) if token[0] == " " else self.readings(token)))
+            got = self.known[token] = (words, *max(map(self.weigh, words), key=lambda x: x[1]))
         return got
 
     def total(self, text: str | None) -> float:
