@@ -182,3 +182,26 @@ def test_streamed_days_match_batch(spark, tmp_path):
     assert daily[("2024-01-01", "a")] == 2 and daily[("2024-01-05", "a")] == 1
     sums = {(r["date"].isoformat(), r["from_addr"]): r["trailing_sum"] for r in spark.table("trailing").collect()}
     assert sums[("2024-01-05", "a")] == 4 and sums[("2024-01-07", "a")] == 4 and sums[("2024-01-08", "a")] == 2
+
+
+def test_point_clouds_of_any_size(spark):
+    """A label of more than 400 points has all its components and its loops."""
+    import numpy as np
+
+    n = 401
+    x = np.random.default_rng(1).normal(size=(n, 64))
+    rows = [(1, i, p.tolist()) for i, p in enumerate(x)] + [(2, 0, [0.0, 0.0]), (2, 1, [3.0, 4.0])]
+    vectors = spark.createDataFrame(rows, "label int, key int, embedding array<double>")
+    got = {r["label"]: r for r in topology.daily_features(topology.point_cloud_diagrams(vectors, "label", "embedding")).collect()}
+    assert (got[1]["status"], got[1]["n_points"], got[1]["H0_num_components"]) == ("ok", n, n - 1)
+    # the spanning tree once more, grown from one point
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    near, out, total = d[0].copy(), np.arange(n) > 0, 0.0
+    while out.any():
+        i = int(np.where(out, near, np.inf).argmin())
+        total += near[i]
+        out[i] = False
+        near = np.minimum(near, d[i])
+    assert got[1]["H0_total_persistence"] == pytest.approx(total / d.max(), rel=1e-6)
+    assert got[1]["H1_num_loops"] > 0 and got[1]["H1_max_persistence"] > 0
+    assert got[2]["H0_num_components"] == 1

@@ -95,17 +95,16 @@ def daily_diagrams(pairs: DataFrame, group: list[str], max_nodes: int = 500, how
     return big.groupBy(*group).applyInPandas(run, f"{keys}, n_nodes int, n_edges int, status string, dgm {POINTS}")
 
 
-def point_cloud_diagrams(vectors: DataFrame, group: str, vector: str, max_points: int = 400) -> DataFrame:
-    """Persistence of Euclidean point clouds, one per group, distances over the largest."""
+def point_cloud_diagrams(vectors: DataFrame, group: str, vector: str) -> DataFrame:
+    """Persistence of Euclidean point clouds, one per group, distances over the largest; both dimensions at every size."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(frame.sort_values("key")[vector].to_numpy()).astype(float)[:max_points] if len(frame) <= max_points else None
-        if x is None:
-            return pd.DataFrame({group: frame[group].iloc[:1].tolist(), "n_points": [len(frame)], "status": ["guarded"], "dgm": [[]]})
+        x = np.stack(frame.sort_values("key")[vector].to_numpy()).astype(float)
         square = (x * x).sum(axis=1)
         d = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0))
+        d = np.maximum(d, d.T)  # the product may differ in the last bit, and a triangle must have one length
         np.fill_diagonal(d, 0)
-        found, status = diagram(scaled(d), None, max_points)
+        found, status = diagram(scaled(d), None, len(x))
         points = [{"dim": k, "birth": float(b), "death": float(e)} for k in (0, 1) for b, e in found[k]]
         return pd.DataFrame({group: frame[group].iloc[:1].tolist(), "n_points": [len(x)], "status": [status], "dgm": [points]})
 
