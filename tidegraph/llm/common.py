@@ -24,37 +24,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the checkpoint folder that the session's owner has set.
 
-    Only where the session names none (local tests) a folder below the
-    warehouse is set, once.
+    There is no local fallback: on a cluster it would lose rows.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf
-    current = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if current:
-        return current
-    home = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    spark.sparkContext.setCheckpointDir(home)
-    return home
+    current = conf or spark.sparkContext.getCheckpointDir()
+    if not current:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return current
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there.
 
     Unlike a cache or a local checkpoint the rows survive the loss of any
-    executor.
+    executor. The shuffle files behind them go when they are written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    # what the rows were made from is no longer needed: let Spark's cleaner find its shuffle files
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing reads any more: all that was made from them must be written by now."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _memos: dict[str, Callable[[], None]] = {}
