@@ -168,18 +168,20 @@ def test_similar_sets_share_a_signature(seed):
 
 
 def brute_passages(rows, window=50):
-    first, words = {}, {}
-    for key, text in sorted(rows):
-        words[key] = WORD.findall(text or "")
-        for i in range(len(words[key]) - window + 1):
-            first.setdefault(tuple(words[key][i : i + window]), key)
-    out = {}
-    for key, w in words.items():
+    """Per row, in the order given: its key, words, how many go and what stays."""
+    words = [WORD.findall(text or "") for _, text in rows]
+    first = {}
+    for (key, _), w in zip(rows, words):
+        for i in range(len(w) - window + 1 if key is not None else 0):
+            s = tuple(w[i : i + window])
+            first[s] = min(first.get(s, key), key)
+    out = []
+    for (key, _), w in zip(rows, words):
         gone = [False] * len(w)
-        for i in range(len(w) - window + 1):
+        for i in range(len(w) - window + 1 if key is not None else 0):
             if first[tuple(w[i : i + window])] < key:
                 gone[i : i + window] = [True] * window
-        out[key] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g))
+        out.append((key, len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
     return out
 
 
@@ -194,16 +196,27 @@ def test_op7_small(spark, monkeypatch, hot):
         parts = [" ".join(rng.choice(vocabulary, int(rng.integers(0, 30)))), passages[i % 5], "\n\t ", " ".join(rng.choice(vocabulary, int(rng.integers(0, 30)))), passages[(i * 3) % 5]]
         rows.append((i * 7 % 61, " ".join(parts)))
     rows += [(100, rows[0][1]), (101, rows[0][1]), (102, None), (103, ""), (104, "x " * 120), (105, "x " * 49), (106, "x " * 70), (107, "É " * 60)]
-    df = spark.createDataFrame([(*r, 0) for r in rows] + [(None, passages[4], 0)], "doc_id bigint, text string, id int")
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substrings.remove_repeats(df).collect()}
-    assert got.pop(None) == (160, 0, passages[4])
-    assert got == brute_passages(rows)
+    # keys that repeat, with one text or several, long and short; a null key
+    rows += [(200, passages[4]), (201, passages[4]), (201, "short text"), (201, passages[4]), (202, passages[3] + " a"), (202, passages[4] + " " + passages[3]), (202, None), (None, passages[4])]
+    df = spark.createDataFrame([(*r, 0, 1) for r in rows], "doc_id bigint, text string, id int, row int")
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substrings.remove_repeats(df).collect()]
+    assert sorted(got, key=repr) == sorted(brute_passages(rows), key=repr)
     assert substrings.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_op7_hot_passage(spark):
+    """A third of all rows hold one passage, many of them under one key."""
+    rng = np.random.default_rng(8)
+    passage = " ".join(f"p{i}" for i in range(90))
+    rows = [(i if i % 6 else 0, (f"{passage} " if i % 3 == 0 else "") + " ".join(f"v{x}" for x in rng.integers(0, 50, int(rng.integers(0, 80))))) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substrings.remove_repeats(df).collect()]
+    assert sorted(got, key=repr) == sorted(brute_passages(rows), key=repr)
+
+
 def test_op7_whole(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{TINY}/documents.parquet").collect()]
-    want = {k: (n, g, hashlib.sha256(t.encode()).hexdigest()) for k, (n, g, t) in brute_passages(rows).items()}
+    want = {k: (n, g, hashlib.sha256(t.encode()).hexdigest()) for k, n, g, t in brute_passages(rows)}
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in queries.op7_substring_dedup(spark, TINY).collect()}
     assert got == want and sum(g for _, g, _ in want.values()) > 0
 
@@ -222,6 +235,10 @@ def test_factors_are_greedy_and_whole():
         block.add(h, substrings.run_hashes(h, 50))
     h = words(" ".join([*a[:70], *b[10:80], "end"]).encode())
     assert block.factors(h, substrings.run_hashes(h, 50)) == [(0, 70), (70, 70)]
+    h = words(" ".join([*a[:55], *b[:60]]).encode())  # an earlier phrase holds only the beginning, a later one more
+    block.add(h, substrings.run_hashes(h, 50))
+    h = words(" ".join([*a[:55], *b[:58], "end"]).encode())
+    assert block.factors(h, substrings.run_hashes(h, 50)) == [(0, 113)]
 
 
 def brute_topk(rows, k=20, every=20):
@@ -313,8 +330,8 @@ def test_pipeline_stages(spark):
             _, root = brute_text(before.items())
             assert set(after) == {k for k in root if root[k] == k}
         if name == "repeated_passages":
-            want = brute_passages(before.items())
-            assert after == {k: (before[k] if not g else t) for k, (_, g, t) in want.items()}
+            want = brute_passages(list(before.items()))
+            assert after == {k: (before[k] if not g else t) for k, _, g, t in want}
         if name in ("toxicity", "language"):
             assert len(after) > 0.8 * len(before)
         before = after

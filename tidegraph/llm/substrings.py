@@ -4,28 +4,31 @@ A window is ``WINDOW`` consecutive words of one document. A window is a duplicat
 if its words also start in a document with a smaller key; words under a
 duplicate window are removed.
 
-Method. Windows are dealt to reference blocks by content: a window's anchor is
-the run of ``ANCHOR`` words in it with the smallest hash (the leftmost of equal
-ones), and equal windows have equal anchors. Neighbouring windows with the same
-anchor form a segment, the unit that travels. Only anchors that two documents
-share can hold duplicates, and only the first document of equal segments can
-hold something new; equal later ones are duplicates as a whole. The remaining
-segments meet by anchor: in key order, each is factored greedily against the
-block of all earlier ones, indexed by every window: from each position the
-longest match is taken, parsing goes on at the factor's end, and the windows
-that reach over a factor's boundary are looked up again, so factors of at least a
-window's length cover exactly the duplicates.
-
-Hot anchors: where more than ``HOT`` different segments share an anchor, segments
-are cut into single windows, whose first documents a plain minimum finds,
-combined before it is shuffled. So no block holds more than ``HOT`` segments, and
-nothing is capped or sampled.
+Method. Documents are factored against reference blocks. Windows are dealt to
+blocks by content: a window's anchor is the run of ``ANCHOR`` words in it with the
+smallest hash (the leftmost of equal ones), and equal windows have equal anchors.
+Neighbouring windows with the same anchor form a segment, the unit that travels.
+Only anchors that two documents share can hold duplicates. Equal segments are one
+phrase of the reference: combined before they travel, they belong to their first
+document, and in every later one the whole segment is a factor. The phrases of an
+anchor then meet: in key order, each is factored greedily against the block of
+all earlier ones, indexed by every window. From each position the longest match
+among all places is taken; parsing goes on with the first window that reaches
+over the factor's boundary, so factors of at least a window's length, checked at
+their boundaries, cover exactly the duplicates.
+
+Hot anchors: where more than ``HOT`` phrases share an anchor, they are cut into
+single windows, and the block is dealt anew by the whole window: each such
+sub-block is one window, whose factor belongs to its smallest key; that is a
+minimum, combined before it is shuffled. So no block holds more than ``HOT``
+phrases, and nothing is capped or sampled.
 
 Defined results: null, empty and blank texts have no words; texts shorter than a
 window keep all words; rows with a null key are neither judged nor a reference
-and keep all words; of repeated rows with one key none is earlier; an empty table
-gives an empty table. Words are the runs between ASCII white space, unchanged,
-and are compared as 64-bit hashes.
+and keep all words; of rows that share a key none is earlier, whether they repeat
+a text or not, and each is judged by its own text; very long texts are cut into
+segments like others; an empty table gives an empty table. Words are the runs
+between ASCII white space, unchanged, and are compared as 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import WordHashes, claim, mix64, written
+from tidegraph.llm.common import WordHashes, claim, discard, mix64, written
 
 WINDOW, ANCHOR, HOT = 50, 8, 4096
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -85,36 +88,37 @@ def sliding_argmin(a: np.ndarray, width: int) -> np.ndarray:
 
 
 def segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> one row per segment."""
+    """(id, row, text) -> one row per segment."""
     claim("substrings")
     memo = WordHashes()
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
-            out: list[list] = [[], [], [], [], []]
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out: list[list] = [[] for _ in SEGMENT_KINDS]
+            for key, row, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 words = text.encode("utf-8", "surrogatepass").split() if text else ()
                 if key is None or len(words) < WINDOW:
                     continue
                 first, count, anchor, content = segments(memo.of(words))
-                for column, x in zip(out, (np.full(len(first), key), first, count, anchor.view(np.int64), content.view(np.int64))):
+                n = len(first)
+                for column, x in zip(out, (np.full(n, key), np.full(n, row), first, count, anchor.view(np.int64), content.view(np.int64))):
                     column.append(x)
             if out[0]:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(out, kinds)], ["id", "first", "n", "anchor", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(out, SEGMENT_KINDS)], ["id", "row", "first", "n", "anchor", "content"])
 
 
-SEGMENT = "id bigint, first int, n int, anchor bigint, content bigint"
+SEGMENT = "id bigint, row int, first int, n int, anchor bigint, content bigint"
+SEGMENT_KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
 
 
 def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, segs: list of (first, n, anchor, content, hot)) -> words of segments, or single windows of hot ones."""
+    """(id, row, text, segs: list of (first, n, anchor, hot)) -> words of segments, or single windows of hot ones."""
     memo = WordHashes()
     for whole in batches:
         for at in range(0, whole.num_rows, 256):
             batch = whole.slice(at, 256)
             rows = []
-            for key, text, segs in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            for key, row, text, segs in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 words = text.encode("utf-8", "surrogatepass").split()
                 h = memo.of(words)
                 windows = None
@@ -123,95 +127,116 @@ def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if s["hot"]:
                         if windows is None:
                             windows = run_hashes(h, WINDOW)
-                        rows += [(key, a + i, 1, s["anchor"], s["content"], x, None) for i, x in enumerate(windows[a : a + n].view(np.int64).tolist())]
+                        rows += [(key, row, a + i, s["anchor"], x, None) for i, x in enumerate(windows[a : a + n].view(np.int64).tolist())]
                     else:
-                        rows.append((key, a, n, s["anchor"], s["content"], None, b" ".join(words[a : a + n + WINDOW - 1])))
+                        rows.append((key, row, a, s["anchor"], None, b" ".join(words[a : a + n + WINDOW - 1])))
             if rows:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["id", "first", "n", "anchor", "content", "window", "words"])
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["id", "row", "first", "anchor", "window", "words"])
 
 
-TEXTS = "id bigint, first int, n int, anchor bigint, content bigint, window bigint, words binary"
+TEXTS = "id bigint, row int, first int, anchor bigint, window bigint, words binary"
 
 
 class Block:
-    """The reference of one anchor: words of earlier segments, indexed by every window."""
+    """The reference of one anchor: words of earlier phrases, indexed by every window."""
 
     def __init__(self):
         self.texts: list[np.ndarray] = []
-        self.index: dict[int, tuple[int, int]] = {}
+        self.index: dict[int, set[int]] = {}  # places: phrase << 32 | first word
+        self.known: set[bytes] = set()
         self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, h: np.ndarray, windows: np.ndarray) -> None:
-        text = len(self.texts)
+        name = h.tobytes()
+        if name in self.known:
+            return
+        self.known.add(name)
+        base = len(self.texts) << 32
         self.texts.append(h)
         for i, w in enumerate(windows.tolist()):
-            self.index.setdefault(w, (text, i))
+            self.index.setdefault(w, set()).add(base + i)
 
     def factors(self, h: np.ndarray, windows: np.ndarray) -> list[tuple[int, int]]:
-        """Greedy factors of at least a window: (start, words)."""
-        out, at, last = [], 0, len(windows)
-        index, texts, known = self.index, self.texts, windows.tolist()
+        """Greedy factors of at least a window: (start, words), each the longest at its start."""
+        out, at, known, index = [], 0, windows.tolist(), self.index
+        last = len(known)
         while at < last:
-            hit = index.get(known[at])
-            if hit is None:
+            places, n = index.get(known[at]), 1
+            if places is None:
                 at += 1  # a literal word
                 continue
-            reference, p = texts[hit[0]], hit[1]
-            n = min(len(h) - at, len(reference) - p)
-            differ = np.flatnonzero(h[at : at + n] != reference[p : p + n])
-            length = int(differ[0]) if len(differ) else n
-            if length < WINDOW:  # two windows with one hash
+            while at + n < last and (further := index.get(known[at + n])) is not None:
+                going = {p + 1 for p in places} & further
+                if not going:
+                    break
+                places, n = going, n + 1
+            if not any(self.same(h, at, n, p) for p in places):  # windows with one hash
                 at += 1
                 continue
-            out.append((at, length))
-            at += length - WINDOW + 1  # the first window that reaches over the boundary
+            out.append((at, n + WINDOW - 1))
+            at += n  # the first window that reaches over the boundary
         return out
 
+    def same(self, h: np.ndarray, at: int, n: int, place: int) -> bool:
+        start = (place & 0xFFFFFFFF) - n + 1
+        return np.array_equal(self.texts[place >> 32][start : start + n + WINDOW - 1], h[at : at + n + WINDOW - 1])
+
 
 def parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments sorted by (anchor, id, first) -> (id, first, content, lo, hi): windows lo..hi-1 of a segment are duplicates."""
+    """Phrases sorted by (anchor, id, row, first) -> (id, row, lo, hi): windows lo..hi-1 of the document are duplicates."""
     memo = WordHashes()
-    anchor, block, waiting_for = None, Block(), None
+    anchor, block, waiting_for, before = None, Block(), None, None
     for batch in batches:
         rows = []
-        for at, key, first, content, words in zip(*(batch.column(c).to_pylist() for c in range(5))):
+        for here in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            if here[:4] == before:  # a repeated row
+                continue
+            before = here[:4]
+            at, key, row, first, words = here
             if at != anchor:
                 anchor, block, waiting_for = at, Block(), None
-            if key != waiting_for:  # segments of the document itself are no reference for it
+            if key != waiting_for:  # segments of rows with the same key are no reference for each other
                 for own in block.waiting:
                     block.add(*own)
                 block.waiting.clear()
                 waiting_for = key
             h = memo.of(words.split(b" "))
             windows = run_hashes(h, WINDOW)
-            rows += [(key, first, at, content, a, a + n - WINDOW + 1) for a, n in block.factors(h, windows)]
+            rows += [(key, row, first + a, first + a + n - WINDOW + 1) for a, n in block.factors(h, windows)]
             block.waiting.append((h, windows))
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        columns = list(zip(*rows)) if rows else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "first", "anchor", "content", "lo", "hi"])
+        columns = list(zip(*rows)) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["id", "row", "lo", "hi"])
+
+
+SPANS = "id bigint, row int, lo int, hi int"
 
 
 def duplicate_windows(docs: DataFrame) -> DataFrame:
-    """(id, lo, hi): windows lo..hi-1 of a document that start in a document with a smaller key."""
-    found = written(docs.where("text is not null and id is not null").mapInArrow(segment_batches, SEGMENT), "segments")
-    # written apart: an aggregate that a join reads in the same stage would keep adaptive execution from splitting a hot anchor
-    shared = written(found.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor"), "anchors-shared")
-    mine = written(found.join(shared, "anchor"), "segments-shared")
-    kinds = written(mine.groupBy("anchor", "content").agg(F.min("id").alias("original")), "segment-kinds")
-    several = written(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "anchors-several")
-    judged = mine.join(kinds, ["anchor", "content"])
-    whole = judged.where("id > original").select("id", F.col("first").alias("lo"), (F.col("first") + F.col("n")).alias("hi"))
-    # the first documents of each kind of segment, where an anchor has several kinds
-    firsts = judged.where("id = original").join(several, "anchor").select("id", "first", "n", "anchor", "content", (F.col("kinds") > HOT).alias("hot"))
-    asked = firsts.groupBy("id").agg(F.collect_list(F.struct("first", "n", "anchor", "content", "hot")).alias("segs"))
-    texts = written(docs.where("text is not null and id is not null").join(asked, "id").select("id", "text", "segs").mapInArrow(text_batches, TEXTS), "segment-texts")
-    cold = texts.where("words is not null").repartition("anchor").sortWithinPartitions("anchor", "id", "first").select("anchor", "id", "first", "content", "words")
-    parsed = cold.mapInArrow(parse_batches, "id bigint, first int, anchor bigint, content bigint, lo int, hi int").select("id", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
+    """docs (id, row, text) -> (id, row, lo, hi): windows lo..hi-1 of a document that start in a document with a smaller key."""
+    docs = docs.where("text is not null and id is not null")
+    found = written(docs.mapInArrow(segment_batches, SEGMENT), "segments")
+    # phrases first, combined before they are shuffled: the segments themselves meet only these, so a hot one can be split
+    every = written(found.groupBy("anchor", "content").agg(F.min("id").alias("original"), F.max("id").alias("last")), "phrases")
+    shared = written(every.groupBy("anchor").agg(F.min("original").alias("lo"), F.max("last").alias("hi"), F.count("*").alias("phrases")).where("lo < hi").select("anchor", "phrases"), "anchors-shared")
+    # those that a later document repeats, or that other phrases of their anchor may repeat in part
+    phrases = written(every.join(shared, "anchor").where("last > original or phrases > 1").select("anchor", "content", "original", "phrases"), "phrases-shared")
+    discard(every, shared)
+    judged = written(found.join(phrases, ["anchor", "content"]), "segments-shared")
+    discard(found, phrases)
+    whole = judged.where("id > original").select("id", "row", F.col("first").alias("lo"), (F.col("first") + F.col("n")).alias("hi"))
+    # the first documents of each phrase, where an anchor has several phrases
+    firsts = judged.where("id = original and phrases > 1").select("id", "row", "first", "n", "anchor", (F.col("phrases") > HOT).alias("hot"))
+    asked = firsts.groupBy("id", "row").agg(F.collect_set(F.struct("first", "n", "anchor", "hot")).alias("segs"))
+    texts = written(docs.join(asked, ["id", "row"]).select("id", "row", "text", "segs").mapInArrow(text_batches, TEXTS), "phrase-texts")
+    cold = texts.where("words is not null").repartition("anchor").sortWithinPartitions("anchor", "id", "row", "first").select("anchor", "id", "row", "first", "words")
+    parsed = cold.mapInArrow(parse_batches, SPANS)
     hot = texts.where("window is not null")
-    original = hot.groupBy("anchor", "window").agg(F.min("id").alias("original"))
-    single = hot.join(original, ["anchor", "window"]).where("id > original").select("id", F.col("first").alias("lo"), (F.col("first") + 1).alias("hi"))
-    return written(whole.unionByName(parsed).unionByName(single), "duplicate-windows")
+    original = written(hot.groupBy("anchor", "window").agg(F.min("id").alias("original")), "hot-windows")
+    single = hot.join(original, ["anchor", "window"]).where("id > original").select("id", "row", F.col("first").alias("lo"), (F.col("first") + 1).alias("hi"))
+    out = written(whole.unionByName(parsed).unionByName(single), "duplicate-windows")
+    discard(judged, texts, original)
+    return out
 
 
 def apply_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,9 +267,12 @@ def apply_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: key, ``keep`` columns, n_words, n_removed, kept (the words that stay, joined by one space)."""
     columns = list(dict.fromkeys([key, *keep]))
-    rows = df.select(F.col(key).cast("bigint").alias("_id"), F.col(text).cast("string").alias("_text"), *columns)
-    spans = duplicate_windows(df.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")))
-    by_doc = spans.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
-    joined = rows.join(by_doc, "_id", "left").select("_id", "_text", "_spans", *columns)
+    whole = F.col(text).cast("string")
+    # a key may repeat with another text: the text's hash tells them apart
+    identity = [F.col(key).cast("bigint").alias("_id"), F.hash(whole).alias("_row"), whole.alias("_text")]
+    rows = df.select(*identity, *columns)
+    spans = duplicate_windows(df.select(*identity).toDF("id", "row", "text"))
+    by_doc = spans.distinct().groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
+    joined = rows.join(by_doc, ["_id", "_row"], "left").select("_id", "_text", "_spans", *columns)
     fields = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
     return joined.mapInArrow(apply_batches, fields + "n_words bigint, n_removed bigint, kept string")
