@@ -95,20 +95,24 @@ def test_recall_of_keys():
 
 
 def brute_text(rows):
-    sets = {}
+    """Per row, in the order given: its key, set size and component; each row is a row of its own."""
+    sets = []
     for key, text in rows:
         w = [x.lower() if x.isascii() else re.sub("[A-Z]", lambda m: m.group().lower(), x) for x in WORD.findall(text or "")]
-        sets[key] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
-    index = {}
-    links = []
-    for key in sorted(sets):
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    index, links = {}, []
+    for i, own in enumerate(sets):
         common = {}
-        for s in sets[key]:
+        for s in own if rows[i][0] is not None else ():
             for other in index.setdefault(s, []):
                 common[other] = common.get(other, 0) + 1
-            index[s].append(key)
-        links += [(o, key) for o, n in common.items() if 100 * n >= 75 * (len(sets[key]) + len(sets[o]) - n)]
-    return {k: len(s) for k, s in sets.items()}, roots(list(sets), links)
+            index[s].append(i)
+        links += [(o, i) for o, n in common.items() if 100 * n >= 75 * (len(own) + len(sets[o]) - n)]
+    root = roots(list(range(len(rows))), links)
+    least = {}
+    for i, r in root.items():
+        least[r] = min(least.get(r, rows[i][0]), rows[i][0]) if rows[i][0] is not None else None
+    return [(rows[i][0], len(sets[i]), least[root[i]]) for i in range(len(rows))]
 
 
 def odd_texts():
@@ -129,22 +133,58 @@ def odd_texts():
     return list(enumerate(texts + texts[:5], 1))
 
 
+def text_rows(df):
+    return sorted(map(tuple, df.select("doc_id", "n_shingles", "component_id").collect()), key=repr)
+
+
 def test_op9_small(spark):
-    rows = odd_texts()
-    df = spark.createDataFrame([(*r, 0, "z") for r in rows] + [(None, "a b c d e f", 0, "z")], "doc_id bigint, text string, id int, a string")
-    sizes, root = brute_text(rows)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup_text.near_duplicates(df).collect()}
-    assert got.pop(None) == (2, None)
-    assert got == {k: (sizes[k], root[k]) for k in sizes}
-    assert sum(root[k] != k for k in root) > 40
+    rows = [*odd_texts(), (None, "a b c d e f"), (None, None)]
+    df = spark.createDataFrame([(*r, 0, "z", 1, 2) for r in rows], "doc_id bigint, text string, id int, a string, row int, node int")
+    want = brute_text(rows)
+    assert text_rows(neardup_text.near_duplicates(df)) == sorted(want, key=repr)
+    assert sum(c != k for k, _, c in want) > 40
     assert neardup_text.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_op9_repeated_keys(spark):
+    """A key that repeats with other texts: each row has a set of its own, and no link is lost."""
+    rng = np.random.default_rng(7)
+    base = [f"w{x}" for x in rng.integers(0, 500, 60)]
+    a, b = " ".join(f"u{x}" for x in rng.integers(0, 500, 90)), " ".join(base)
+    rows = [(1, a), (1, b), (2, b + " more"), (2, a + " more"), (3, b + " other end"), (4, "nothing alike here at all"), (4, a), (4, a), (5, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert text_rows(neardup_text.near_duplicates(df)) == sorted(brute_text(rows), key=repr)
+    stay = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame([(*r, "en", "s", 1) for r in rows + rows[:2]], "doc_id bigint, text string, lang string, source string, n_chars int"), TINY)
+    assert sorted((r["doc_id"], r["text"]) for r in stay.collect() if r["text"]) == sorted([(1, a), (1, b), (4, "nothing alike here at all")]) and stay.count() == 5
+
+
+def test_op9_buckets_follow_the_sets():
+    """Short sets fill as many buckets as their signatures need, and signatures of one instance spread over all of its buckets."""
+    first, slices = neardup_text.dealing({20: 50_000_000, 300: 10})
+    band = partenum.band_of(20)
+    assert slices[band + 1] >= 50_000_000 * partenum.first_level(band) * partenum.PARTS // neardup_text.BUCKET_ROWS and slices[0] > 100
+    signs = np.random.default_rng(0).integers(0, 1 << 63, 100_000, dtype=np.uint64)
+    got = neardup_text.bucket_of(np.full(100_000, band), signs, first, slices)
+    counts = np.bincount(got - first[band + 1], minlength=slices[band + 1])
+    assert len(counts) == slices[band + 1] and counts.max() < 5 * counts.mean()
+
+
+def test_op9_hot_group(spark):
+    """A third of all rows are near copies of one text, a third exact copies of another."""
+    rng = np.random.default_rng(9)
+    base, copy = [f"w{x}" for x in rng.integers(0, 300, 40)], " ".join(f"c{x}" for x in range(30))
+    rows = []
+    for i in range(300):
+        words = list(base)
+        words[int(rng.integers(0, 40))] = f"n{i}"
+        rows.append((i, " ".join(words) if i % 3 == 0 else copy if i % 3 == 1 else " ".join(f"v{x}" for x in rng.integers(0, 900, 25))))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert text_rows(neardup_text.near_duplicates(df)) == sorted(brute_text(rows), key=repr)
+
+
 def test_op9_whole(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{TINY}/documents.parquet").collect()]
-    sizes, root = brute_text(rows)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op9_ngram_jaccard(spark, TINY).collect()}
-    assert got == {k: (sizes[k], root[k]) for k in sizes}
+    assert text_rows(queries.op9_ngram_jaccard(spark, TINY)) == sorted(brute_text(rows), key=repr)
 
 
 @pytest.mark.parametrize("seed", range(40))
@@ -327,8 +367,7 @@ def test_pipeline_stages(spark):
         after = {r["doc_id"]: r["text"] for r in now.collect()}
         assert set(now.columns) == set(docs.columns) and set(after) <= set(before)
         if name == "near_duplicates":
-            _, root = brute_text(before.items())
-            assert set(after) == {k for k in root if root[k] == k}
+            assert set(after) == {k for k, _, c in brute_text(list(before.items())) if c == k}
         if name == "repeated_passages":
             want = brute_passages(list(before.items()))
             assert after == {k: (before[k] if not g else t) for k, _, g, t in want}

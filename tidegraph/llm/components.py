@@ -2,10 +2,14 @@
 
 Each round every node takes the smallest label among its neighbours' labels and
 then its label's label, so the number of rounds grows with the logarithm of a
-component's diameter on the graphs met here. Rounds are written to the shared
-folder, which cuts the lineage; only a count of changed rows reaches the
-driver. All aggregations are minima, combined before they are shuffled, so a
-node with very many neighbours is no hot spot.
+component's diameter on the graphs met here. Labels only fall, so the rounds end
+by themselves: there is no limit to them. Each round is written to the shared
+folder, which cuts the lineage, and the round before is deleted; only whether a
+row has changed reaches the driver. All aggregations are minima, combined before
+they are shuffled, so a node with very many neighbours is no hot spot.
+
+Defined results: edges with a null end, loops and repeated edges say nothing; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -13,23 +17,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import written
+from tidegraph.llm.common import discard, written
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, component): the smallest node reachable. Nodes without an edge are not listed."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = written(both, "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         spread = written(labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label")), "labels")
         # all nodes of a component ask for one label: where the labels in use point is found first, so that adaptive execution can split the asking side
         hop = written(spread.select("label").distinct().join(spread.select(F.col("node").alias("label"), F.col("label").alias("hop")), "label"), "hops")
-        jumped = spread.join(hop, "label", "left").select("node", "old", F.least("label", F.coalesce("hop", "label")).alias("label"))
-        step = written(jumped, "labels")
-        changed = step.where("label <> old").limit(1).count()
-        labels = step.select("node", "label")
-        if not changed:
-            return labels.select("node", F.col("label").alias("component"))
-    raise RuntimeError("components did not settle")
+        step = written(spread.join(hop, "label", "left").select("node", "old", F.least("label", F.coalesce("hop", "label")).alias("label")), "labels")
+        discard(labels, spread, hop)
+        labels = step
+        if not step.where("label <> old").limit(1).count():
+            discard(both)
+            return step.select("node", F.col("label").alias("component"))

@@ -1,8 +1,8 @@
 """Near-duplicate documents: an exact Jaccard self-join of word-shingle sets.
 
 Method: PartEnum (see ``partenum``). Documents with the same set are one class,
-named by its smallest key. The signatures of each class are dealt to buckets by
-what they are signatures of; a bucket finds the classes that share one and names
+a node with a number of its own. The signatures of each class are dealt to buckets
+by instance and value; a bucket finds the classes that share one and names
 each with the first of them, and keeps lists of three or more. Pairs that cannot
 be similar by an exact lower bound on their difference (sizes and parity
 sketches) are dropped. Of the others, each class is first verified on the full
@@ -11,15 +11,17 @@ pair that shares a signature, may be similar and still lies in two components is
 verified as well, so no link between different texts is lost, while a group of
 thousands of copies costs a few comparisons a member.
 
-Scale: what a bucket reads is bounded by the number of buckets, which grows with
-the number of signatures; nothing but counts and the frequent elements (a
-bounded sample, see ``SAMPLE_SETS``; they steer the work, never the result) reach
-the driver. Sets are compared as 64-bit hashes.
+Scale: each instance has as many buckets as its signatures fill, counted before
+they are dealt, so a bucket's rows are bounded, unless one signature alone is
+hotter; nothing but counts by band and the frequent elements (a bounded sample,
+see ``SAMPLE_SETS``; they steer the work, never the result) reach the driver. Sets
+are compared as 64-bit hashes.
 
 Defined results: a text with fewer than five words is one shingle of all its
 words; null, empty and blank texts have no shingle and link with nothing; rows
 with a null key link with nothing and have a null component; repeated rows are
-one class; an empty table gives an empty table.
+one class; rows that share a key but not a text are rows of their own; very long
+texts have larger sets; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import WordHashes, claim, mix64, written
+from tidegraph.llm.common import WordHashes, claim, discard, mix64, written
 from tidegraph.llm.components import components
-from tidegraph.llm.partenum import DEN, NUM, fold, shingles, signatures, sketch
+from tidegraph.llm.partenum import DEN, NUM, PARTS, SMALL, band_of, first_level, fold, shingles, signatures, sketch
 
 SAMPLE_SETS, FREQUENT_SHARE, BUCKET_ROWS, NEAREST = 4096, 0.005, 1_000_000, 3
 
@@ -48,14 +50,14 @@ def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for at in range(0, whole.num_rows, 1024):
             batch = whole.slice(at, 1024)
             n, h1, h2, parities = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingles(text, memo)
                 raw = xxhash.xxh3_128_intdigest(s.tobytes())
                 n.append(len(s))
                 h1.append((raw & (1 << 64) - 1) - (1 << 63))
                 h2.append((raw >> 64) - (1 << 63))
                 parities.append(sketch(s).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, h1, h2)), pa.array(parities, pa.binary())], ["id", "n", "h1", "h2", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (n, h1, h2)), pa.array(parities, pa.binary())], ["id", "row", "n", "h1", "h2", "sketch"])
 
 
 def frequent_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,27 +69,39 @@ def frequent_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([pa.array(elements.view(np.int64)), pa.array(counts, pa.int64())], ["e", "n"])
 
 
-def bucket_of(places: np.ndarray, signs: np.ndarray, slices: int) -> np.ndarray:
-    """Signatures of one instance go to ``slices`` buckets by range, those of elements to as many by value."""
-    of_range = (places >> 32) * slices + (places & 0xFFFFFFFF) % slices
-    return np.where(places >= 0, of_range, -1 - (signs % np.uint64(slices)).astype(np.int64))
+def dealing(sizes: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """From the number of classes of each size: first bucket and number of buckets of each instance; index 0 is that of elements."""
+    rows = [0] * (band_of(max(sizes, default=1)) + 3)
+    for size, classes in sizes.items():
+        band = band_of(size)
+        for b in (band, band + 1):
+            rows[b + 1] += classes * first_level(b) * PARTS
+        if size <= SMALL:
+            rows[0] += classes * (size // DEN + 1)
+    slices = np.array([max(1, -(-n // BUCKET_ROWS)) for n in rows], np.int64)
+    return np.cumsum(slices) - slices, slices
 
 
-def signature_batches(frequent, slices: int):
-    """(id, text) -> (bucket, blob); a blob holds the classes of one batch that have signatures in the bucket."""
+def bucket_of(instances: np.ndarray, signs: np.ndarray, first: np.ndarray, slices: np.ndarray) -> np.ndarray:
+    """Every instance has buckets of its own; a signature's value says which."""
+    return first[instances + 1] + (signs % slices[instances + 1].astype(np.uint64)).astype(np.int64)
+
+
+def signature_batches(frequent, first: np.ndarray, slices: np.ndarray):
+    """(node, text) -> (bucket, blob); a blob holds the classes of one batch that have signatures in the bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, heavy = WordHashes(), frequent.value
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024).sort_by([("id", "ascending")])
+                batch = whole.slice(at, 1024).sort_by([("node", "ascending")])
                 sets = [(i, s) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if len(s := shingles(t, memo))]
                 if not sets:
                     continue
                 got = [signatures(s, heavy) for _, s in sets]
                 owner = np.repeat(np.arange(len(sets)), [len(g[0]) for g in got])
-                signs, places = (np.concatenate([g[c] for g in got]) for c in (0, 1))
-                bucket = bucket_of(places, signs, slices)
+                signs, instances = (np.concatenate([g[c] for g in got]) for c in (0, 1))
+                bucket = bucket_of(instances, signs, first, slices)
                 order = np.argsort(bucket, kind="stable")
                 bucket, signs, owner = bucket[order], signs[order], owner[order]
                 cuts = np.flatnonzero(np.diff(bucket)) + 1
@@ -282,40 +296,32 @@ def verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs (a, b) whose sets are similar."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    mine = written(texts.join(needed, "id", "left_semi"), "pair-texts")
-    both = pairs.join(mine.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(mine.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return written(both.select("a", "b", "text_a", "text_b").mapInArrow(verify_batches, "a bigint, b bigint"), "links")
-
-
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_shingles, component_id."""
-    spark = df.sparkSession
-    kind = df.schema[key].dataType.simpleString()
-    docs = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    digests = written(docs.mapInArrow(digest_batches, "id bigint, n bigint, h1 bigint, h2 bigint, sketch binary"), "set-digests")
-    usable = digests.where("id is not null and n > 0")
-    classes = written(usable.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "set-classes")
-    totals = classes.agg(F.count("*").alias("sets"), F.sum("n").alias("elements")).first()
-    if not totals["sets"]:
-        return digests.select(F.col("id").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.col("id").cast(kind).alias("component_id"))
-    texts = written(docs.where("text is not null").join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "set-texts")
-    share = min(1.0, SAMPLE_SETS / totals["sets"])
-    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003))).select("text")
-    often = max(8.0, FREQUENT_SHARE * min(SAMPLE_SETS, totals["sets"]))
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    mine = written(texts.join(needed, "node", "left_semi"), "pair-texts")
+    both = pairs.join(mine.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(mine.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    out = written(both.select("a", "b", "text_a", "text_b").mapInArrow(verify_batches, "a bigint, b bigint"), "links")
+    discard(mine)
+    return out
+
+
+def similar_classes(classes: DataFrame, texts: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """classes (node, n, sketch), texts (node, text) -> (node, component) of all classes that are similar to another one."""
+    spark = classes.sparkSession
+    n_sets = sum(sizes.values())
+    share = min(1.0, SAMPLE_SETS / n_sets)
+    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003))).select("text")
+    often = max(8.0, FREQUENT_SHARE * min(SAMPLE_SETS, n_sets))
     heavy = sample.mapInArrow(frequent_batches, "e bigint, n bigint").groupBy("e").agg(F.sum("n").alias("n")).where(F.col("n") >= often).select("e").toArrow()
     frequent = spark.sparkContext.broadcast(np.sort(heavy.column(0).to_numpy().astype(np.int64).view(np.uint64)))
-    slices = max(1, round(0.8 * totals["elements"] / BUCKET_ROWS / 16))  # about 16 bands hold most sets
-    blobs = texts.mapInArrow(signature_batches(frequent, slices), "bucket bigint, blob binary")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * slices)
+    first, slices = dealing(sizes)
+    blobs = texts.mapInArrow(signature_batches(frequent, first, slices), "bucket bigint, blob binary")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(slices.sum()))
     found = written(blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(bucket_batches, FOUND), "set-meetings")
     meetings = written(found.where("other is not null").select(F.col("first").alias("a"), F.col("other").alias("b")).distinct(), "set-pairs")
-    # one set by key; a key that repeats with another text has several
-    sets = written(classes.groupBy(F.col("rep").alias("node")).agg(F.max(F.struct("n", "sketch")).alias("s")).select("node", "s.n", "s.sketch"), "set-sketches")
-    of = {x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab"}
+    of = {x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab"}
     both = meetings.join(of["a"], "a").join(of["b"], "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
     pairs = written(both.mapInArrow(possible_batches, "a bigint, b bigint"), "set-possible-pairs")
-    # first the nearest few by key of each class: in a group of copies they connect nearly all
+    # first the nearest few of each class: in a group of copies they connect nearly all
     nearest = pairs.groupBy("b").agg(F.slice(F.array_sort(F.collect_set("a")), 1, NEAREST).alias("few")).select(F.explode("few").alias("a"), "b")
     tried = written(nearest, "set-first-pairs")
     links = verified(tried, texts)
@@ -331,15 +337,52 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     spanning = wanted.select("first").distinct()
     partners = placed.withColumnRenamed("a", "first").join(spanning, "first", "left_semi")
     nodes = partners.select("first", F.col("b").alias("node"), F.col("c_b").alias("component")).union(partners.select("first", F.col("first").alias("node"), F.col("c_a").alias("component")).distinct())
-    rows = nodes.join(sets, "node").select("first", "node", "component", "n", "sketch", F.lit(None).cast("binary").alias("members"))
+    rows = nodes.join(classes.select("node", "n", "sketch"), "node").select("first", "node", "component", "n", "sketch", F.lit(None).cast("binary").alias("members"))
     blank = [F.lit(None).cast(t).alias(c) for c, t in (("node", "bigint"), ("component", "bigint"), ("n", "bigint"), ("sketch", "binary"))]
     work = rows.unionByName(wanted.select("first", *blank, "members")).withColumn("later", F.col("members").isNotNull())
     work = work.repartition("first").sortWithinPartitions("first", "later").drop("later")
     across = apart.unionByName(work.mapInArrow(across_batches, "a bigint, b bigint")).distinct().join(tried, ["a", "b"], "left_anti")
     across = written(across, "set-pairs-across")
+    discard(found, meetings, pairs, tried, placed, open_, wanted)
     if across.limit(1).count():
-        roots = components(links.unionByName(verified(across, texts)))
-    of_set = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    linked = usable.join(of_set, ["h1", "h2"]).select("id", "n", "component_id")
-    alone = digests.where("id is null or n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return linked.unionByName(alone).select(F.col("id").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.col("component_id").cast(kind).alias("component_id"))
+        more = verified(across, texts)
+        if more.limit(1).count():
+            roots = components(links.unionByName(more))
+    return roots
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: key, n_shingles, component_id, row (a hash of the text), kept.
+
+    kept: the row is the smallest of its component, by key and ``row``; rows that
+    repeat it in both are kept as it is. Null where a row can have no link.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    whole = F.col(text).cast("string")
+    docs = df.select(F.col(key).cast("bigint").alias("id"), F.hash(whole).alias("row"), whole.alias("text"))
+    digests = written(docs.mapInArrow(digest_batches, "id bigint, row int, n bigint, h1 bigint, h2 bigint, sketch binary"), "set-digests")
+    usable = digests.where("id is not null and n > 0")
+    grouped = usable.groupBy("h1", "h2").agg(F.min(F.struct("id", "row")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = written(grouped.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", F.col("rep.id").alias("id"), F.col("rep.row").alias("row"), "n", "sketch"), "set-classes")
+    sizes = {r["n"]: r["count"] for r in by_band(classes).collect()}  # as many rows as bands
+    alone = digests.where("id is null or n = 0").select("id", "n", F.col("id").alias("component_id"), "row", F.lit(None).cast("boolean").alias("kept"))
+    out = alone
+    if sizes:
+        # of rows that repeat key and text one is read, before they are shuffled
+        once = docs.where("text is not null and id is not null").groupBy("id", "row").agg(F.first("text").alias("text"))
+        texts = written(once.join(classes.select("id", "row", "node"), ["id", "row"]).select("node", "text"), "set-texts")
+        roots = similar_classes(classes.select("node", "n", "sketch"), texts, sizes)
+        placed = classes.join(roots, "node", "left").select("h1", "h2", "id", "row", F.coalesce("component", "node").alias("component"))
+        placed = written(placed, "set-placed-classes")
+        best = written(placed.groupBy("component").agg(F.min(F.struct("id", "row")).alias("best")), "set-best")
+        of_set = written(placed.join(best, "component").select("h1", "h2", "best"), "set-components")
+        linked = usable.join(of_set, ["h1", "h2"]).select("id", "n", F.col("best.id").alias("component_id"), "row", (F.struct("id", "row") == F.col("best")).alias("kept"))
+        discard(texts, placed, best)
+        out = linked.unionByName(alone)
+    return out.select(F.col("id").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.col("component_id").cast(kind).alias("component_id"), "row", "kept")
+
+
+def by_band(classes: DataFrame) -> DataFrame:
+    """Number of classes by size, sizes above ``SMALL`` rounded up within their band."""
+    size = F.when(F.col("n") <= SMALL, F.col("n")).otherwise(F.ceil(F.pow(F.lit(1.05), F.ceil(F.log("n") / F.log(F.lit(1.05))))))
+    return classes.groupBy(size.cast("bigint").alias("n")).count()

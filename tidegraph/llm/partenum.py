@@ -8,15 +8,18 @@ band or in two neighbouring ones; each set takes part in the instance of its
 own band and in that of the next.
 
 An instance for sizes up to r allows k = 2 r (DEN - NUM) / (DEN + NUM)
-differences. It partitions the hash domain into k + 1 equal ranges; k
-differences leave at least one range untouched, so a similar pair agrees on the
-whole content of a range: the range's signature. Empty ranges say nothing and
-have none. Where that could hide a pair (sets of up to ``SMALL`` elements with an
-empty range), the elements that come first in hash order, as many as can differ
-plus one, are signatures too: a similar pair shares one of these for certain.
-Above ``SMALL`` the chance that all untouched ranges of a pair are empty is below
-1e-15, unless frequent elements were left out of half the set; then the same
-elements are signatures there too.
+differences. It has two levels. The hash domain is partitioned into
+n1 = (k + 1) / 2 ranges, rounded up: k differences leave at least one of them
+with one difference at most. Each range is partitioned again into ``PARTS``
+second-level ranges, and all subsets of ``PARTS - 1`` of these are enumerated: one
+difference leaves at least one subset untouched. The content of a subset is a
+signature, so a similar pair shares one. Subsets without an element say nothing
+and have none. Where that could hide a pair (sets of up to ``SMALL`` elements with
+an empty subset), the elements that come first in hash order, as many as can
+differ plus one, are signatures too: a similar pair shares one of these for
+certain. Above ``SMALL`` the chance that all untouched subsets of a pair are empty
+is below 1e-15, unless frequent elements were left out of half the set; then the
+same elements are signatures there too.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import numpy as np
 
 from tidegraph.llm.common import WordHashes, mix64
 
-NUM, DEN, WORDS, SMALL = 3, 4, 5, 256
+NUM, DEN, WORDS, SMALL, PARTS = 3, 4, 5, 256, 3
 _ODD, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -59,11 +62,21 @@ def bands() -> tuple[np.ndarray, np.ndarray]:
     return np.array(first), np.array(last)
 
 
+def first_level(band: int) -> int:
+    """Ranges of the first level of an instance."""
+    k = 2 * int(bands()[1][band]) * (DEN - NUM) // (DEN + NUM)
+    return (k + 2) // 2
+
+
 @lru_cache(maxsize=512)
 def ranges(band: int) -> np.ndarray:
-    """Starts of the hash ranges of an instance."""
-    k = 2 * int(bands()[1][band]) * (DEN - NUM) // (DEN + NUM)
-    return np.arange(k + 1, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // (k + 1))
+    """Starts of the second-level hash ranges of an instance, ``PARTS`` for each of the first level."""
+    n = first_level(band) * PARTS
+    return np.arange(n, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // n)
+
+
+def band_of(size: int) -> int:
+    return int(np.searchsorted(bands()[0], size, "right")) - 1
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -84,7 +97,7 @@ def fold(sketches: np.ndarray) -> np.ndarray:
 
 
 def signatures(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a non-empty set, and what they are signatures of: instance << 32 | range, or -1 for elements.
+    """Signatures of a non-empty set, and the instance of each: its band, or -1 for elements.
 
     ``frequent`` (sorted) are elements that very many sets hold. Leaving them out
     of the ranges keeps every bound, because sets cannot differ more without
@@ -92,7 +105,7 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndar
     elements are left, the elements that come first are signatures as above, the
     frequent ones last in order.
     """
-    band = int(np.searchsorted(bands()[0], len(s), "right")) - 1
+    band = band_of(len(s))
     rare = s
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
@@ -101,19 +114,21 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndar
             rare = s[~known]
     total = np.zeros(len(rare) + 1, np.uint64)
     np.cumsum(mix64(rare ^ _ODD2), out=total[1:])
-    out, places, empty = [], [], False
+    out, instances, empty = [], [], False
     for b in (band, band + 1):
         starts = ranges(b)
         at = np.append(np.searchsorted(rare, starts), len(rare))
-        full = np.flatnonzero(at[1:] > at[:-1])
+        sums, sizes = np.diff(total[at]).reshape(-1, PARTS), np.diff(at).reshape(-1, PARTS)
+        # each subset leaves one second-level range out
+        content = (sums.sum(axis=1, dtype=np.uint64)[:, None] - sums).ravel()
+        full = np.flatnonzero((sizes.sum(axis=1)[:, None] - sizes).ravel())
         empty = empty or len(full) < len(starts)
-        content = total[at[full + 1]] - total[at[full]]
         salt = np.uint64((b + 1) * int(_ODD2) % (1 << 64))
-        out.append(mix64(content + (full.astype(np.uint64) + np.uint64(1)) * _ODD + salt))
-        places.append(full + (b << 32))
+        out.append(mix64(content[full] + (full.astype(np.uint64) + np.uint64(1)) * _ODD + salt))
+        instances.append(np.full(len(full), b, np.int64))
     if empty and (len(s) <= SMALL or len(rare) * 2 < len(s)):
         first = len(s) - -(-len(s) * NUM // DEN) + 1
         order = rare if len(rare) >= first else np.concatenate([rare, s[known]])
         out.append(mix64(order[:first] + _ODD))
-        places.append(np.full(min(first, len(order)), -1, np.int64))
-    return np.concatenate(out), np.concatenate(places)
+        instances.append(np.full(min(first, len(order)), -1, np.int64))
+    return np.concatenate(out), np.concatenate(instances)

@@ -68,7 +68,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle count and component of every document."""
-    return neardup_text.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup_text.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
