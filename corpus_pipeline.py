@@ -4,7 +4,9 @@
 2. language: documents whose language model rejects them (no letters, or a
    cross-entropy beyond the calibrated limit of their best language) go.
 3. near_duplicates: of each component of near copies the document with the
-   smallest doc_id stays. Rows without a doc_id stay.
+   smallest doc_id stays, and of rows that repeat its doc_id and text one. Rows
+   that share a doc_id but not a text are documents of their own. Rows without a
+   doc_id or without words stay.
 4. repeated_passages: words that an earlier document's passage covers are taken
    out; a document that loses none keeps its text as it was, any other has its
    remaining words joined by one space, and ``n_chars`` follows the text.
@@ -17,7 +19,7 @@ samples that leave out the held-out remainders of the single queries.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegraph.llm import langid, neardup_text, packing, substrings, toxicity
@@ -38,9 +40,13 @@ def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = neardup_text.near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    found = neardup_text.near_duplicates(docs).where("kept is not null")
+    status = written(found.groupBy("doc_id", "row").agg(F.max("kept").alias("kept")), "near-duplicates")
+    rows = docs.where("doc_id is not null").select(*COLUMNS, F.hash(F.col("text").cast("string")).alias("row"))
+    marked = rows.join(status, ["doc_id", "row"], "left")
+    first = Window.partitionBy("doc_id", "row").orderBy("n_chars")
+    stay = marked.withColumn("nth", F.row_number().over(first)).where("kept is null or kept and nth = 1")
+    return stay.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
