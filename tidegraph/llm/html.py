@@ -5,18 +5,27 @@ gives points for its length and commas to its ancestors, halved for the
 grandparent and falling further above; a container's points are discounted by
 its link density and weighed by what its tag, class and id say. The best
 container is kept together with those siblings that score nearly as well or
-are plain paragraphs with few links. Menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments are left out at
-any depth.
+are plain paragraphs with few links.
+
+What is left out. Scripts, styles, controls and hidden elements always; menus,
+sidebars and footers by their tags. A class or id says so only where it is made of
+telling words and words of layout alone ("ad", "cookie-notice", "left-sidebar"):
+"related-work" or "ad-hoc" does not. Outside of an article such an element goes
+unless it wraps the page's article or most of its text; inside, words that only
+page furniture has suffice, others ("warning", "related") need support: more links
+than text, or a place behind the last paragraph. Anything else with a telling
+word goes only if it is mostly links. A form goes unless it holds half of the
+page's text: some pages lie in one.
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined by one newline in page order. Nothing is
 dropped by length or capped.
 
 Defined results: null or empty html gives an empty text; a page without any
-main text gives an empty text; unclosed and misnested tags are closed as far as
-the next matching parent; repeated rows give the same text; an empty table
-gives an empty table.
+main text gives an empty text; of containers with equal scores the first in page
+order is taken; unclosed and misnested tags are closed as far as the next
+matching parent; very long and very deep pages are walked without recursion;
+repeated rows give the same text; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -37,21 +46,28 @@ BLOCK = frozenset(
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary"}
-DROPPED = frozenset("script style noscript template title head nav footer aside form button input select textarea iframe object embed svg math canvas audio video dialog menu label option link meta".split())
+DROPPED = frozenset("script style noscript template title head button input select textarea iframe object embed svg math canvas audio video dialog label option link meta".split())
+#: Parts of pages by their tags; a form may wrap a page.
+PAGE_PARTS = frozenset("nav footer aside menu".split())
 SIBLING_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
-CONTAINER = frozenset("#root html body article main section div td th table tbody tr center blockquote details fieldset dd li dl ul ol".split())
+CONTAINER = frozenset("#root html body article main section div td th table tbody tr center blockquote details fieldset form dd li dl ul ol".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-#: Words in class, id and role that mark what is not the article, and what may be.
-BAD_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising advertorial adbox adsense adslot banner breadcrumb breadcrumbs byline-share combx comment comments commentlist commentary "
-    "community cookie cookies consent contact copyright disqus disclaimer extra foot footer footnote-nav gdpr hdr header masthead menu menubar meta-nav modal nav navbar navigation newsletter notice notices "
-    "outbrain pager pagination popup privacy promo promoted promotion recommend recommended recommendations related remark replies reply respond responses rss search share sharing shoutbox sidebar "
-    "sidebars signup skyscraper social sponsor sponsored subscribe subscription taboola tags teaser toolbar tooltip topbar widget widgets warning alert overlay login".split()
+#: Words in class, id and role. Page furniture wherever it stands; what may be furniture, but also part of an article; words of layout.
+FURNITURE = frozenset(
+    "ad ads advert adverts advertisement advertising advertorial adbox adsense adslot banner breadcrumb breadcrumbs combx comment comments commentlist cookie cookies consent disqus disclaimer foot footer gdpr "
+    "masthead menu menubar modal nav navbar navigation newsletter notice notices outbrain pager pagination popup promo promoted promotion replies reply respond share sharing shoutbox sidebar sidebars signup "
+    "skyscraper social sponsor sponsored subscribe subscription taboola toolbar tooltip topbar".split()
+)
+DOUBTFUL = frozenset("alert community contact copyright extra header hdr login overlay privacy recommend recommended recommendations related remark response responses rss search tags teaser warning widget widgets".split())
+READERS = frozenset("comment comments commentlist combx disqus replies reply respond shoutbox".split())
+#: Doubtful words that mean furniture behind the last paragraph of an article.
+AT_END = DOUBTFUL - {"alert", "warning", "header", "hdr", "remark"}
+LAYOUT = frozenset(
+    "area article bar block bottom box column container content desktop footer form frame global group holder inline inner item items left link links list main mobile module outer page panel post right row "
+    "section site slot space text title top unit wrap wrapper zone".split()
 )
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
-#: Words that mark a page's head but may also mark an article's.
-HEAD_WORDS = frozenset("header hdr".split())
 GOOD_WORDS = frozenset("article articlebody body content entry hentry main page post story text blog maincontent postcontent entry-content article-body".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|</?[a-zA-Z][^>]*>|[^<]+|<", re.S)
@@ -64,16 +80,19 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "out", "weight", "block", "in_link", "in_article", "own", "own_linked", "commas", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "children", "out", "never", "words", "told", "weight", "block", "in_link", "in_article", "own", "commas", "chars", "linked", "score", "all_chars", "all_linked", "holds")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool = False, weight: float = 0.0):
-        self.tag, self.parent, self.out, self.weight = tag, parent, out, weight
+    def __init__(self, tag: str, parent: Node | None, hint: tuple = (False, frozenset(), False, 0.0)):
+        self.tag, self.parent = tag, parent
+        never, self.words, self.told, self.weight = hint
+        self.never = never or (parent is not None and parent.never)  # whatever the page looks like
         self.children: list[Node | str] = []
         self.block = self if parent is None or tag in BLOCK else parent.block
         self.in_link = tag == "a" or (parent is not None and parent.in_link)
         self.in_article = tag in ("article", "main") or (parent is not None and parent.in_article)
-        self.own = self.own_linked = self.commas = self.chars = self.linked = 0
+        self.own = self.commas = self.chars = self.linked = self.all_chars = self.all_linked = 0
         self.score = 0.0
+        self.out = self.holds = False
 
     def ancestors(self):
         node = self.parent
@@ -82,34 +101,34 @@ class Node:
             node = node.parent
 
 
-def hints(tag: str, source: str, inside: bool = False) -> tuple[bool, float]:
-    """Whether an element is left out, and its weight, by tag, class, id and role; ``inside``: it is part of an article."""
+def hints(tag: str, source: str) -> tuple[bool, frozenset, bool, float]:
+    """Whether an element never counts; telling words of its class and id; whether one of these names consists of such and of layout alone; its weight."""
     if tag in DROPPED:
-        return True, 0.0
+        return True, frozenset(), False, 0.0
     weight = {"article": 25.0, "main": 20.0}.get(tag, 0.0)
     if "=" not in source:
-        return False, weight
-    words: set[str] = set()
+        return False, frozenset(), False, weight
+    telling: set[str] = set()
+    told = good = False
     for name, a, b, c in _ATTR.findall(source):
         name = name.lower()
         if name in ("class", "id", "role"):
             value = (a or b or c).lower()
             if name == "role":
                 if value.strip() in BAD_ROLES:
-                    return True, 0.0
+                    return True, frozenset(), False, 0.0
                 if value.strip() in ("main", "article"):
                     weight += 20
                 continue
             for name_part in value.split():
-                words.add(name_part)
-                words.update(_WORDS.findall(name_part))
-    good, bad = bool(words & GOOD_WORDS), bool(words & (BAD_WORDS - HEAD_WORDS if inside else BAD_WORDS))
-    if bad and not (good and tag in ("article", "main", "body")) and tag not in ("html", "body", "article", "main"):
-        return True, 0.0
-    if "hidden" in source.lower() or "display" in source.lower():
-        if _HIDDEN.search(source) and tag not in ("html", "body"):
-            return True, 0.0
-    return False, weight + 25.0 * good
+                words = set(_WORDS.findall(name_part))
+                good = good or name_part in GOOD_WORDS or bool(words & GOOD_WORDS)
+                bad = words & (FURNITURE | DOUBTFUL)
+                telling |= bad
+                told = told or bool(bad) and words <= FURNITURE | DOUBTFUL | LAYOUT
+    if ("hidden" in source.lower() or "display" in source.lower()) and _HIDDEN.search(source) and tag not in ("html", "body"):
+        return True, frozenset(), False, 0.0
+    return False, frozenset(telling), told, weight + 25.0 * good
 
 
 def nearest(node: Node, tags, stop) -> Node | None:
@@ -133,12 +152,9 @@ def parse(html: str) -> list[Node]:
         token = m.group()
         if token[0] != "<" or len(token) == 1:
             here.children.append(token)
-            if not here.out and (n := len(token.strip())):
-                block = here.block
-                block.own += n
-                block.commas += token.count(",") + token.count("\u3001") + token.count("\uff0c")
-                if here.in_link:
-                    block.own_linked += n
+            if not here.never and (n := len(token.strip())):
+                here.own += n
+                here.commas += token.count(",") + token.count("\u3001") + token.count("\uff0c")
             continue
         if token[1] in "!?":
             continue
@@ -160,11 +176,7 @@ def parse(html: str) -> list[Node]:
                 sibling = nearest(sibling, {"tr"}, {"table"})
             if sibling is not None:
                 here = sibling.parent
-        inside = here.in_article
-        out, weight = hints(tag, token, inside)
-        if tag == "header" and not inside:  # a page's header goes; the header of an article belongs to it
-            out = True
-        node = Node(tag, here, out or here.out, weight)
+        node = Node(tag, here, hints(tag, token))
         here.children.append(node)
         nodes.append(node)
         if tag in RAW:
@@ -175,19 +187,78 @@ def parse(html: str) -> list[Node]:
     return nodes
 
 
+PROSE, MOST_LINKS, MOST_TEXT = 80, 0.5, 0.6
+
+
+def decide(nodes: list[Node], trusting: bool = False) -> None:
+    """Mark what is left out; ``trusting``: by tags alone, whatever classes, ids and forms say."""
+    for node in nodes:
+        node.all_chars, node.all_linked, node.holds = node.own, node.own * node.in_link, node.tag in ("article", "main") and not node.never
+    for node in reversed(nodes):  # children before parents
+        if node.parent is not None and not node.never:
+            node.parent.all_chars += node.all_chars
+            node.parent.all_linked += node.all_linked
+            node.parent.holds = node.parent.holds or node.holds
+    root = nodes[0]
+    for node in nodes:
+        node.out = node.never or (node.parent is not None and node.parent.out) or node.tag in PAGE_PARTS or (node.tag == "header" and not node.in_article)
+        if not node.out and not trusting and node.parent is not None:
+            node.out = furniture(node, root)
+
+
+def furniture(node: Node, root: Node) -> bool:
+    """Whether a form, or an element with telling words, is no part of the main text."""
+    share = node.all_chars / max(root.all_chars, 1)
+    if node.tag == "form":
+        return share < 0.5
+    if not node.words or node.tag in ("html", "body", "article", "main"):
+        return False
+    mostly_links = node.all_linked > MOST_LINKS * max(node.all_chars, 1)
+    if not node.told:
+        return mostly_links
+    if node.in_article:
+        return mostly_links or bool(node.words & FURNITURE) or (bool(node.words & AT_END) and behind_all_prose(node))
+    wraps = node.holds or (share >= MOST_TEXT and not node.words & READERS and not root.holds)
+    return not wraps
+
+
+def behind_all_prose(node: Node) -> bool:
+    """Whether no later sibling, nor one of a parent below the article, has a paragraph's length of text."""
+    while node.parent is not None and node.tag not in ("article", "main"):
+        later = False
+        for other in node.parent.children:
+            if other is node:
+                later = True
+            elif later and isinstance(other, Node) and not other.never and other.all_chars - other.all_linked >= PROSE and not other.words:
+                return False
+        node = node.parent
+    return True
+
+
 def score(nodes: list[Node]) -> Node | None:
     """Let blocks pass points up; the best container, or None if no block has text."""
+    for node in nodes:
+        node.chars = node.linked = 0
+        node.score = 0.0
+    own = {}  # text and commas of blocks with the inline elements in them, and how much is linked
+    for node in nodes:
+        if node.own and not node.out:
+            sums = own.setdefault(id(node.block), [0, 0, 0])
+            sums[0] += node.own
+            sums[1] += node.commas
+            sums[2] += node.own * node.in_link
     for node in reversed(nodes):
         if node.block is not node or node.out:
             continue
-        node.chars += node.own
-        node.linked += node.own_linked
+        text, commas, linked = own.get(id(node), (0, 0, 0))
+        node.chars += text
+        node.linked += linked
         if node.parent is not None:
             node.parent.block.chars += node.chars
             node.parent.block.linked += node.linked
-        if not node.own:
+        if not text:
             continue
-        points = (1 + node.commas + min(node.own / 100, 3.0)) * (1 - node.own_linked / node.own)
+        points = (1 + commas + min(text / 100, 3.0)) * (1 - linked / text)
         level = 0
         if node.tag in CONTAINER:  # text that stands in a container directly
             node.score += points
@@ -203,7 +274,8 @@ def score(nodes: list[Node]) -> Node | None:
     best, best_score = None, 0.0
     for node in nodes:
         if node.block is node and not node.out and node.score > 0 and node.tag in CONTAINER:
-            final = (node.score + node.weight) * (1 - node.linked / max(node.chars, 1))
+            # a word that did not suffice to leave the element out lowers its score
+            final = (node.score + node.weight) * (1 - node.linked / max(node.chars, 1)) * (0.8 if node.words and not node.in_article else 1.0)
             node.score = final
             if final > best_score:
                 best, best_score = node, final
@@ -275,10 +347,13 @@ def blocks_of(root: Node) -> list[str]:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    best = score(parse(html))
-    if best is None:
-        return ""
-    return "\n".join(text for node in kept(best) for text in blocks_of(node))
+    nodes = parse(html)
+    for trusting in (False, True):  # where words left nothing, tags alone decide
+        decide(nodes, trusting)
+        best = score(nodes)
+        if best is not None:
+            return "\n".join(text for node in kept(best) for text in blocks_of(node))
+    return ""
 
 
 def extract_batches(batches: Iterator[pa.RecordBatch], step: int = 512) -> Iterator[pa.RecordBatch]:
