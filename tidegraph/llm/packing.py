@@ -20,6 +20,7 @@ beside its own text. Ids, pieces and offsets are longs.
 from __future__ import annotations
 
 import base64
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -38,25 +39,33 @@ DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 
 
 class Encoder:
-    """Ids of a tokenizers file; where a rank file of the same vocabulary lies beside it, by that."""
+    """Ids of a tokenizers file as its library makes them, without the tokens it would put around a text.
+
+    Where a rank file of the same vocabulary lies beside it and its added tokens
+    are plain strings, the same ids come from that: the rank file's merges, and the
+    added tokens wherever a text holds them.
+    """
 
     def __init__(self, path: str):
-        import os
+        import json
 
         ranks = os.path.splitext(path)[0] + ".tiktoken"
-        if os.path.exists(ranks):
+        with open(path, encoding="utf-8") as file:
+            added = json.load(file).get("added_tokens") or []
+        plain = not any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized"))
+        if os.path.exists(ranks) and plain:
             import public_tokenizers
             import tiktoken
 
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            encoding = tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-            self.ids = lambda text: np.array(encoding.encode_ordinary(text), "<u4")
+            own = {t["content"]: t["id"] for t in added}
+            encoding = tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks={k: v for k, v in table.items() if v not in own.values()}, special_tokens=own)
+            self.ids = lambda text: np.array(encoding.encode(text, allowed_special="all"), "<u4")
         else:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
             self.ids = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
 
