@@ -5,7 +5,9 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidegraph.llm import bpe, charlm, chat, html, langid, packing, queries, toxicity
 
@@ -53,21 +55,31 @@ def test_op1(spark, odd):
         assert (r["doc_id"], r["n_tokens"]) == (key, len(want))
         assert np.frombuffer(r["ids"], "<u4").tolist() == want and bytes(r["decoded"]) == (text or "").encode()
     assert bpe.encode(odd.limit(0)).count() == 0
-    row = queries.op1_byte_bpe(spark, TINY).orderBy("doc_id").first()
-    text = spark.read.parquet(f"{TINY}/documents.parquet").orderBy("doc_id").first()["text"]
-    assert row["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
-    assert row["ids_sha256"] == hashlib.sha256(np.array(codec.encode_ordinary(text), "<u4").tobytes()).hexdigest()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{TINY}/documents.parquet").collect()}
+    rows = queries.op1_byte_bpe(spark, TINY).collect()
+    assert len(rows) == len(texts)
+    for r in rows:  # every row of the query
+        ids = codec.encode_ordinary(texts[r["doc_id"]])
+        digest = hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), digest, hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest())
 
 
 def library_ids(texts):
+    """By the tokenizers file as it is, added tokens included."""
     import public_tokenizers as P
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path(packing.DEFAULT_TOKENIZER))
-    t.encode_special_tokens = True
     return [[*e.ids, packing.END_ID] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
+def test_op8_added_tokens():
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endoftext|", " <|endoftext|>\n\n x", "<|ENDOFTEXT|>", "it's\u00a0x<|endoftext|>'s"]
+    own = packing.encoder(packing.DEFAULT_TOKENIZER)
+    for text, want in zip(texts, library_ids(texts)):
+        assert own.ids(text).tolist() == want[:-1], text
+
+
 def check_pieces(rows, docs, window=2048):
     """Every id of every document once, sequences without gaps, full or a power of two."""
     by_doc, by_sequence = {}, {}
@@ -96,9 +108,13 @@ def test_op8(spark, odd):
     rows = docs.select("doc_id", "text").collect()
     packed = packing.pack(docs)
     check_pieces(packed.collect(), dict(zip([r["doc_id"] for r in rows], library_ids([r["text"] for r in rows]))))
-    first = queries.op8_packing(spark, TINY).orderBy("sequence_id", "offset").first()
-    piece = packed.orderBy("sequence_id", "offset").first()
-    assert first["ids_crc32"] == packing.crc32_of(bytes(piece["ids"]))
+    ids = {r["doc_id"]: x for r, x in zip(rows, library_ids([r["text"] for r in rows]))}
+    seen = dict.fromkeys(ids, 0)
+    for r in queries.op8_packing(spark, TINY).collect():  # every piece of the query, by the library's ids
+        piece = np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4")
+        assert (r["ids_crc32"], r["doc_tokens"], len(piece)) == (packing.crc32_of(piece.tobytes()), len(ids[r["doc_id"]]), r["length"])
+        seen[r["doc_id"]] += r["length"]
+    assert seen == {k: len(x) for k, x in ids.items()}
 
 
 def test_nonnegative_least_squares():
@@ -168,6 +184,64 @@ def test_op3(spark):
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+P = "This is the first paragraph of the story, long enough, with commas, to be one. " * 2
+Q = "A second paragraph follows here, which says more, at length, about the same thing. " * 2
+p, q = P.strip(), Q.strip()
+#: One page template each, and the blocks of its main text.
+TEMPLATES = {
+    "form": (f'<html><body><form id="aspnetForm"><div class="nav"><a href=1>a</a></div><div id="content"><h1>T</h1><p>{P}</p><p>{Q}</p></div></form></body></html>',["T",p,q]),
+    "relwork": (f'<article><h1>T</h1><p>{P}</p><div class="warning">Mind the gap, please.</div><section id="related-work"><h2>Related work</h2><p>{Q}</p></section></article>',["T",p,"Mind the gap, please.","Related work",q]),
+    "related links": (f'<article><h1>T</h1><p>{P}</p><p>{Q}</p><div class="related"><h3>Related</h3><ul><li><a href=1>one thing</a><li><a href=2>another</a></ul></div></article><aside><p>{P}</p></aside>',["T",p,q]),
+    "comments": (f'<div id="main"><div class="post"><h2>T</h2><p>{P}</p><p>{Q}</p></div><div id="comments">'+f'<div class="comment"><p>I, for one, think, {P}</p></div>'*6+'</div></div>',["T",p,q]),
+    "table": (f'<table><tr><td class="menu"><a href=1>x</a><a href=2>y</a></td><td><h1>T</h1><p>{P}<p>{Q}</td></tr></table><div class="footer">Copyright, all rights, me</div>',["T",p,q]),
+    "header": (f'<div class="page-header"><h1>Site</h1></div><div class="wrapper has-sidebar"><div class="entry-content"><h1>T</h1><p>{P}</p><p>{Q}</p></div><div class="left-sidebar"><p>{P}</p></div></div>',["T",p,q]),
+    "ads": (f'<main><h1>T</h1><p>{P}</p><div class="ad-slot"><p>Buy, buy, buy now, {P}</p></div><p>{Q}</p><form class="newsletter"><p>Sign up, do, now</p><input></form></main>',["T",p,q]),
+    "sections": (f'<body><main><header><h1>T</h1></header><section><h2>A</h2><p>{P}</p></section><section id="social-impact"><h2>B</h2><p>{Q}</p></section><footer>by me</footer></main></body>',["T","A",p,"B",q]),
+    "plain": (f'<body><p>{P}<p>{Q}</body>',[p,q]),
+    "contact": (f'<body><div class="menu"><a href=1>x</a></div><div class="contact"><h1>T</h1><p>{P}</p><p>{Q}</p></div></body>',["T",p,q]),
+    "divs": (f'<div class="nav">Home, about</div><div class="story">{P}<br><br>{Q}</div><div class="cookie-notice">We use cookies, and, more.</div>',[p+" "+q]),
+    "list": (f'<article><h1>T</h1><p>{P}</p><ul><li>one</li><li>two <a href=x>link</a></li></ul><blockquote>{Q}</blockquote><div class="share">Share, tweet</div></article>',["T",p,"one","two link",q]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(TEMPLATES))
+def test_op3_templates(name):
+    page, want = TEMPLATES[name]
+    assert html.main_text(page).split("\n") == want
+
+
+def test_models_of_runs_and_of_words_agree():
+    words = {"ab": 3, "abc": 2, "bca": 1, "cab": 4, "zzz": 1}
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(w for w, n in words.items() for _ in range(n)), "ab, (cab) 12 x1"])], ["text"])
+    (found,) = list(toxicity.count_grams(iter([batch])))
+    a = charlm.CharLM.of_grams("x", found.column(0).to_pylist(), found.column(1).to_numpy().astype(float))
+    b = charlm.CharLM.fit({"x": words | {"ab": 4, "cab": 5}}, 3)
+    assert np.allclose(a.score_words(["abca", "zab", "q"]), b.score_words(["abca", "zab", "q"]), atol=1e-5)
+
+
+def test_samples_are_bounded(spark):
+    rows = [("a", i % 40, f"t{i}") for i in range(400)] + [("b", i, f"u{i}") for i in range(500)] + [("c", 7, "same")] * 300
+    df = spark.createDataFrame(rows, "lang string, hash bigint, text string")
+    got = {r["lang"]: (r["count"], r["kinds"]) for r in langid.bounded_sample(df, "lang", "hash", 100).groupBy("lang").agg(F.count("*").alias("count"), F.countDistinct("hash").alias("kinds")).collect()}
+    assert got == {"a": (40, 40), "b": (100, 100), "c": (1, 1)}
+
+
+def test_op4_odd_rows_of_a_fitted_model(spark):
+    """Keys of another type, keys that repeat, null, empty and long texts, with a model that was learned."""
+    texts = [f"they saw a {'moron' if i % 3 == 0 else 'cat'} by the {w} {i % 5}" for i, w in enumerate(["river", "house", "long road", "old mill"] * 45)]
+    texts = [" ".join(random.Random(i).sample(t.split(), len(t.split()))) for i, t in enumerate(texts)]  # else near copies count once
+    rows = [(str(i), t, 0) for i, t in enumerate(texts)] + [("7", None, 0), ("7", "", 0), (None, "a moron", 0), ("x", "word " * 30_000 + "moron", 0), ("7", texts[0], 0)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, score int")
+    labels = spark.createDataFrame([(str(i), int(i % 3 == 0)) for i in range(len(texts))], "doc_id string, toxic int")
+    model = toxicity.fit(df.limit(len(texts)), labels)
+    got = toxicity.score(df, model).collect()
+    assert len(got) == len(rows) and model.constant is None
+    want = [int("moron" in (t or "")) for _, t, _ in rows]
+    assert [r["predicted"] for r in got] == want
+    ints = toxicity.fit(df.where("doc_id <> 'x'").limit(len(texts)).select(F.col("doc_id").try_cast("int").alias("doc_id"), "text"), labels.select(F.col("doc_id").cast("int").alias("doc_id"), "toxic"))
+    assert ints.weights == model.weights
+
+
 def test_kneser_ney_sums_to_one():
     lm = charlm.CharLM.fit({"x": {"ab": 3, "abc": 2, "bca": 1, "cab": 4}}, 3)
     letters = "abc" + chr(charlm.BOUNDARY) + "?"

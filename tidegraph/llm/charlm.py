@@ -94,17 +94,42 @@ class CharLM:
                 count = np.bincount(pairs[0].astype(np.int64), minlength=len(keys)).astype(np.float64)
                 at_start = ~longer_ok[ok]
                 count += np.bincount(inverse[at_start], w[at_start], len(keys))
-            ctx = c[first]
-            ones, twos = float((count == 1).sum()), float((count == 2).sum())
-            discount = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones and twos else 0.5
-            ctx_keys, ctx_inverse = np.unique(ctx, return_inverse=True)
-            total = np.bincount(ctx_inverse, count, len(ctx_keys))
-            kinds = np.bincount(ctx_inverse, minlength=len(ctx_keys))
-            value = np.maximum(count - discount, 0) / total[ctx_inverse]
-            gamma = np.minimum(1.0, discount * kinds / total)
-            out.append((keys, ctx_keys, value, ctx, gamma))
+            out.append(discounted(keys, c[first], count))
         return out
 
+    @classmethod
+    def of_grams(cls, name: str, grams: list[str], weights: np.ndarray) -> CharLM:
+        """One model of order three from the counts of what ends at each letter: three letters, or a boundary mark and a word's first one."""
+        self = cls([name], 3)
+        codes = np.zeros((len(grams), 3), np.uint64)  # the letter, the one before it, the one before that
+        for i, g in enumerate(grams):
+            codes[i, : len(g)] = [ord(c) for c in reversed(g)]
+        whole = np.fromiter((len(g) == 3 for g in grams), bool, len(grams))
+        self.floor = 1.0 / (len(np.unique(codes[:, 0])) + 1)  # the mark is among them
+        odd, one = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
+        h1 = mix64(codes[:, 0] + one)
+        h2 = mix64(h1 * odd + codes[:, 1] + one)
+        h3 = mix64(h2 * odd + codes[:, 2] + one)
+        c1 = np.full(len(grams), 7, np.uint64)
+        c2 = mix64(c1 * odd + codes[:, 1] + one)
+        c3 = mix64(c2 * odd + codes[:, 2] + one)
+        pairs, pair_at, pair_of = np.unique(h2, return_index=True, return_inverse=True)
+        singles, single_at, single_of = np.unique(h1[pair_at], return_index=True, return_inverse=True)
+        # how many letters stand before; what begins a word has nothing before and keeps its own count
+        before = np.bincount(pair_of, np.where(whole, 1.0, weights), len(pairs))
+        triples, triple_at = np.unique(h3[whole], return_index=True)
+        parts = (
+            discounted(singles, c1[pair_at][single_at], np.bincount(single_of, minlength=len(singles)).astype(np.float64)),
+            discounted(pairs, c2[pair_at], before),
+            discounted(triples, c3[whole][triple_at], weights[whole][triple_at].astype(np.float64)),
+        )
+        for keys, contexts, value, _, gamma in parts:
+            self.keys.append(keys)
+            self.share.append(value.astype(np.float32)[:, None])
+            self.context_keys.append(contexts)
+            self.backoff.append(gamma.astype(np.float32)[:, None])
+        return self
+
     def score_words(self, words: list[str]) -> np.ndarray:
         """Log-probability (natural) of each word under each model."""
         n = len(self.names)
@@ -135,6 +160,18 @@ class CharLM:
         return out
 
 
+def discounted(keys: np.ndarray, contexts: np.ndarray, count: np.ndarray):
+    """Sorted n-grams with their contexts and counts to: n-grams, sorted contexts, shares, contexts of the n-grams, backoff weights."""
+    ones, twos = float((count == 1).sum()), float((count == 2).sum())
+    discount = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones and twos else 0.5
+    ctx_keys, ctx_inverse = np.unique(contexts, return_inverse=True)
+    total = np.bincount(ctx_inverse, count, len(ctx_keys))
+    kinds = np.bincount(ctx_inverse, minlength=len(ctx_keys))
+    value = np.maximum(count - discount, 0) / total[ctx_inverse]
+    gamma = np.minimum(1.0, discount * kinds / total)
+    return keys, ctx_keys, value, contexts, gamma
+
+
 def context_hashes(words: list[str], order: int) -> list[np.ndarray]:
     """Hashes of the contexts (0..order-1 letters) before each predicted position, told apart by length."""
     joined = "".join(f"\x02{w}\x02" for w in words)

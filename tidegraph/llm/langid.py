@@ -7,8 +7,8 @@ that cross-entropy, calibrated per language and text length on the training
 rows. ``score`` is the posterior of the chosen language for equal priors, with
 at most ``POSTERIOR_CHARS`` characters counted, so it stays comparable.
 
-The models are fitted on a bounded sample: all rows of a language up to about
-``SAMPLE_ROWS``, chosen by a hash of the key, and fitted twice: the second time
+The models are fitted on a bounded sample: different texts of a language, all up
+to ``SAMPLE_ROWS``, chosen by a hash of the text, and fitted twice: the second time
 without the sentences that the first fit gives to another language. Word counts
 are summed on the executors; what reaches the driver is bounded by the sample. Every text is then
 scored whole; words are runs of letters, lower-cased.
@@ -16,7 +16,8 @@ scored whole; words are runs of letters, lower-cased.
 Defined results: null texts and texts without a letter are ``und`` with score 0
 and not accepted; with no training rows every text is ``und``; ties go to the
 language that sorts first; rows with a null key are trained on and scored like
-others; an empty table gives an empty table.
+others; repeated texts are trained on once; very long texts are read whole; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.llm.charlm import CharLM, WordScores
@@ -44,13 +45,16 @@ def remainder(key: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % parts
 
 
-def bounded_sample(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
-    """About ``most`` rows of each value of ``group``, all if there are fewer, by a hash of the key."""
-    sizes = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
-    share = F.lit(0.0)
-    for value, n in sizes.items():
-        share = F.when(F.col(group) == F.lit(value), F.lit(min(1.0, most / n))).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_003)) / F.lit(1_000_003.0) < share)
+def bounded_sample(rows: DataFrame, group: str, by: str, most: int) -> DataFrame:
+    """The rows of each value of ``group`` with the smallest hashes ``by``, one of equal ones, ``most`` at most; all if there are fewer.
+
+    A first cut by the number of different hashes keeps the sort small.
+    """
+    place = F.pmod(F.xxhash64(by), F.lit(1_000_003))
+    sizes = rows.groupBy(group).agg(F.approx_count_distinct(by).alias("_n"))
+    near = rows.join(sizes, group).where(place / F.lit(1_000_003.0) <= 1.3 * most / F.col("_n")).drop("_n")
+    nth = F.row_number().over(Window.partitionBy(group).orderBy(place, by))
+    return near.dropDuplicates([group, by]).withColumn("_nth", nth).where(F.col("_nth") <= most).drop("_nth")
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,11 +136,11 @@ def collected(words: DataFrame) -> dict[str, dict[str, int]]:
     return counts
 
 
-def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, order: int = ORDER) -> Calibrated:
+def fit(df: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, order: int = ORDER) -> Calibrated:
     """Models from the rows with text and lang of ``df``."""
     spark = df.sparkSession
-    rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    sample = written(bounded_sample(rows, "lang", "key", sample_rows), "langid-sample")
+    rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("hash"))
+    sample = written(bounded_sample(rows, "lang", "hash", sample_rows), "langid-sample")
     counts = collected(sample.select("lang", "text").mapInArrow(count_words, "lang string, word string, n bigint"))
     if not counts:
         return Calibrated(CharLM([], order))

@@ -9,15 +9,18 @@ restored word has a weight, the cautious log-odds of label 1 among texts with th
 word or with its beginning, and a logistic curve turns the sum of positive weights, each
 word or beginning once, into the score. Both curve and weights are learned; no word list is built in.
 
-Learning uses a bounded sample of labelled rows, about ``SAMPLE_ROWS`` of each
-label by a hash of the key; near copies in it count once. The curve is fitted
-on the other half than the one its weights come from. All texts are then scored
-whole and stream through one Python stage.
+The character model is fitted on the words of all texts, counted as runs of three
+letters on the executors. Learning weights uses a bounded sample of labelled rows,
+``SAMPLE_ROWS`` of each label at most, by a hash; near copies in it count once. The
+curve is fitted on the other half than the one its weights come from. All texts
+are then scored whole and stream through one Python stage.
 
 Defined results: null and empty texts get the score of a text without any
 weighted word; if either label is missing from the training rows, every text
 gets the share of label 1 (0 without rows); rows with null labels are not
-learned from; of repeated label rows of one key the largest label counts.
+learned from; of repeated label rows of one key the largest label counts, and
+rows that share a key share its label; keys may be of any type; very long texts
+are read whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.llm.charlm import BOUNDARY, CharLM
@@ -39,8 +42,6 @@ from tidegraph.llm.common import WordHashes, claim, memo_of, mix64, written
 from tidegraph.llm.langid import bounded_sample
 
 SAMPLE_ROWS = 5000
-#: Texts of the sample, about so many by a hash, that the character model of the channel is fitted on.
-LM_TEXTS = 1000
 #: Which letters a sign may stand for.
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -296,6 +297,32 @@ def learn_weights(counts: dict[str, tuple[int, int]], zeros_weight: float, least
     return out
 
 
+def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) -> (run, n): what ends at each letter of the words, the closing mark included; three letters, two at a word's beginning."""
+
+    def emit():
+        words: Counter = Counter()
+        for token, n in tokens.items():
+            if (w := token.strip(EDGES)).isalpha():
+                words[w] += n
+        tokens.clear()
+        found: Counter = Counter()
+        for w, n in words.items():
+            marked = chr(BOUNDARY) + w + chr(BOUNDARY)
+            found[marked[:2]] += n
+            for i in range(len(marked) - 2):
+                found[marked[i : i + 3]] += n
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["gram", "n"])
+
+    tokens: Counter = Counter()
+    for batch in batches:
+        for t in batch.column(0).to_pylist():
+            tokens.update(t.lower().split())
+            if len(tokens) > 200_000:
+                yield emit()
+    yield emit()
+
+
 def fit_curve(totals: np.ndarray, labels: np.ndarray, prior_shift: float, ridge: float = 1e-2) -> tuple[float, float]:
     """Slope and intercept by Newton steps; the intercept is moved to the prior of all labelled rows."""
     x = np.stack([totals, np.ones_like(totals)], axis=1)
@@ -321,16 +348,17 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
         return Model(None, constant=float(bool(sizes.get(1))))
     chosen = bounded_sample(marked, "y", "key", sample_rows)
     texts = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    # the chosen keys are at most about 2 * sample_rows: a bounded broadcast
-    rows = texts.join(F.broadcast(chosen), "key").select("key", "y", "text")
+    # the chosen keys are 2 * sample_rows at most: a bounded broadcast
+    rows = texts.join(F.broadcast(chosen), "key").select("y", "text")
 
     def hashed(batches):
         words = WordHashes()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([min_hash(t, words) for t in batch.column(2).to_pylist()], pa.int64())], ["key", "y", "text", "mh"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([min_hash(t, words) for t in batch.column(1).to_pylist()], pa.int64())], ["y", "text", "mh"])
 
-    once = rows.mapInArrow(hashed, "key bigint, y int, text string, mh bigint").groupBy("mh").agg(F.min_by(F.struct("y", "text"), "key").alias("r"))
-    sample = written(once.select("r.y", "r.text", (F.pmod(F.col("mh"), F.lit(2))).cast("int").alias("half")), "toxicity-sample")
+    once = rows.mapInArrow(hashed, "y int, text string, mh bigint").groupBy("mh").agg(F.min(F.struct("y", "text")).alias("r")).select("r.*", "mh")
+    few = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("mh")))  # a key may repeat with many texts
+    sample = written(once.withColumn("nth", few).where(F.col("nth") <= sample_rows).select("y", "text", F.pmod("mh", F.lit(2)).cast("int").alias("half")), "toxicity-sample")
 
     cells = {(r["half"], r["y"]): r["count"] for r in sample.groupBy("half", "y").count().collect()}
     a0, a1, b0, b1 = (cells.get(c, 0) for c in ((0, 0), (0, 1), (1, 0), (1, 1)))
@@ -338,19 +366,8 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
         return Model(None, constant=float(a0 + b0 == 0))
     ratio = (sizes[0] / sizes[1]) / ((a0 + b0) / (a1 + b1))  # how many rows of label 0 one of the sample stands for
 
-    def letters(batches):
-        counts: Counter = Counter()
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                counts.update(w for w in (x.strip(EDGES) for x in t.lower().split()) if w.isalpha())
-            if len(counts) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-                counts.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-
-    few = sample.where(F.pmod(F.xxhash64("text"), F.lit(a0 + a1 + b0 + b1)) < LM_TEXTS)
-    got = few.select("text").mapInArrow(letters, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy("word").toArrow()
-    lm = CharLM.fit({"text": dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))}, 3)
+    got = texts.select("text").mapInArrow(count_grams, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").toArrow()
+    lm = CharLM.of_grams("text", got.column(0).to_pylist(), got.column(1).to_numpy().astype(np.float64))
     bare = Model(lm)
     shared = spark.sparkContext.broadcast(bare)
 
