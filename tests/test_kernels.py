@@ -16,7 +16,7 @@ def graph(*edges):
 
 def diagram_of(g, how="norm_similarity"):
     d, near = topology.densified(g, how)
-    return homology.diagram(d, near)[0]
+    return homology.diagram(d, near)
 
 
 def test_path():
@@ -86,6 +86,20 @@ def test_loops_against_reduction(seed):
     assert [tuple(p) for p in homology.loops(d).tolist()] == reduction(d)
 
 
+@pytest.mark.parametrize("n", [60, 90])
+def test_loops_of_larger_metrics(n):
+    """Both kinds of ties: shortest paths of a sparse graph, and a point cloud."""
+    rng = np.random.default_rng(n)
+    edges = {tuple(sorted(rng.choice(n, 2, replace=False))) for _ in range(2 * n)}
+    g = graph(*((f"n{a:02d}", f"n{b:02d}", float(rng.integers(1, 4))) for a, b in edges))
+    d, _ = topology.densified(g)
+    x = rng.normal(size=(24, 2))
+    cloud = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert [tuple(p) for p in homology.loops(cloud).tolist()] == reduction(cloud)
+    d = d[:26, :26]
+    assert [tuple(p) for p in homology.loops(d).tolist()] == reduction(d)
+
+
 @pytest.mark.parametrize("seed", range(15))
 def test_blocks_give_the_whole(seed):
     """Loops of a graph metric are those of its biconnected blocks."""
@@ -93,7 +107,7 @@ def test_blocks_give_the_whole(seed):
     edges = {tuple(sorted(rng.choice(11, 2, replace=False))) for _ in range(15)}
     g = graph(*((f"n{a:02d}", f"n{b:02d}", float(rng.integers(1, 9))) for a, b in edges))
     d, near = topology.densified(g)
-    whole, parts = homology.loops(d), homology.diagram(d, near)[0][1]
+    whole, parts = homology.loops(d), homology.diagram(d, near)[1]
     assert np.allclose(whole, parts)
 
 
@@ -167,6 +181,51 @@ def test_centralities():
         graphs.centrality("nothing")
 
 
+def plain_esd(x, most, bound, least):
+    """The farthest from the mean of what is left, by definition; how many go is told by ``bound``."""
+    left, out, kept = list(range(len(x))), [], 0
+    while len(out) < most and len(left) >= 3 and x[left].std(ddof=1) >= least:
+        far = np.abs(x[left] - x[left].mean()) / x[left].std(ddof=1)
+        at = int(np.argmax(np.round(far, 12)))
+        out.append(left.pop(at))
+        kept = bound(len(out), far[at], kept)
+    return sorted(out[:kept])
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_esd_against_its_definition(seed):
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.normal(size=60), 1)
+    x[rng.integers(0, 60, 5)] += rng.choice([-6, 6, 9], 5)
+    n = len(x)
+
+    def rosner(k, r, kept):
+        t = detectors.t_quantile(1 - 0.05 / (2 * (n - k + 1)), n - k - 1)
+        return k if kept == k - 1 and r > (n - k) * t / math.sqrt((n - k - 1 + t * t) * (n - k + 1)) else kept
+
+    def grubbs(k, r, kept):
+        m = n - k + 1
+        t = detectors.t_quantile(1 - 0.05 / (2 * m), m - 2)
+        return k if r > (m - 1) / math.sqrt(m) * math.sqrt(t * t / (m - 2 + t * t)) else kept
+
+    assert detectors.generalized_esd(x) == plain_esd(x, 6, rosner, 1e-10)
+    assert detectors.masking_robust_esd(x, 0.2) == plain_esd(x, 12, grubbs, 1e-12)
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_modularity_along_the_filtration(seed):
+    rng = np.random.default_rng(seed)
+    edges = {tuple(sorted(rng.choice(15, 2))) for _ in range(30)}
+    g = graph(*((f"n{a:02d}", f"n{b:02d}", 1.0) for a, b in edges))
+    w = np.round(rng.random(len(g.w)) + 0.1, 1)
+    cutoffs = np.linspace(w.min(), w.max(), 12)
+    for q, limit in zip(curvature.filtration_modularity(g, w, cutoffs), cutoffs):
+        part = graphs.Graph.__new__(graphs.Graph)
+        keep = w <= limit
+        part.n, part.u, part.v = g.n, g.u[keep], g.v[keep]
+        assert q == pytest.approx(curvature.modularity(part, curvature.components_of(g.n, part.u, part.v), w[keep]))
+
+
 def test_esd_variants():
     x = np.r_[np.tile([1.0, 1.2, 0.8, 1.1, 0.9], 4)[:18], 30.0, 30.0]
     assert detectors.masking_robust_esd(x, 0.2) == [18, 19]

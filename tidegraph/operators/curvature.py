@@ -8,18 +8,21 @@ to exp(-length squared).
 
 from __future__ import annotations
 
+import math
+import time
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.operators.graphs import Graph
+from tidegraph.operators.graphs import Graph, spread
 from tidegraph.operators.homology import loops, spanning_forest, transport
 from tidegraph.operators.topology import all_pairs, capped, distances_of
 
 
-def edge_curvature(g: Graph, lengths: np.ndarray, mass: float = 0.5) -> np.ndarray:
-    """Curvature of each edge; loops get 0."""
+def edge_curvature(g: Graph, lengths: np.ndarray, mass: float = 0.5, until: float = math.inf) -> np.ndarray:
+    """Curvature of each edge; loops get 0. Past the moment ``until`` (monotonic seconds) it raises TimeoutError."""
     d = all_pairs(g, lengths)
     near: list[dict[int, float]] = [{} for _ in range(g.n)]
     for a, b, w in zip(g.u.tolist(), g.v.tolist(), lengths.tolist()):
@@ -35,6 +38,8 @@ def edge_curvature(g: Graph, lengths: np.ndarray, mass: float = 0.5) -> np.ndarr
         measures.append((np.append(nodes, i), np.append(share, mass if len(nodes) else 1.0)))
     out = np.zeros(len(g.w))
     for e, (a, b) in enumerate(zip(g.u.tolist(), g.v.tolist())):
+        if time.monotonic() > until:
+            raise TimeoutError
         if a != b and d[a, b] > 0:
             (x, p), (y, q) = measures[a], measures[b]
             out[e] = 1 - transport(d[np.ix_(x, y)], p, q) / d[a, b]
@@ -68,35 +73,56 @@ def modularity(g: Graph, label: np.ndarray, weights: np.ndarray) -> float | None
     return float(inside - ((np.bincount(group, strength) / (2 * total)) ** 2).sum())
 
 
-def cut(g: Graph, weights: np.ndarray, steps: int = 50, drop: float = 0.01) -> tuple[float, np.ndarray] | None:
-    """Communities by dropping edges heavier than a cutoff.
+def filtration_modularity(g: Graph, weights: np.ndarray, cutoffs: np.ndarray) -> np.ndarray:
+    """Modularity of the components of the edges up to each cutoff (rising), among these edges.
 
-    Modularity is measured on what each cutoff leaves. Going up from the lowest
-    cutoff, the last relative drop above ``drop`` marks the choice, one step below
-    it; without one, the largest modularity does.
+    No kept edge leaves a component, so it is one minus the sum of squared shares
+    of strength; joining two components adds twice the product of theirs. One
+    sweep over the edges with a union-find; nan where nothing is kept.
     """
+    parent, strength = list(range(g.n)), [0.0] * g.n
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = np.full(len(cutoffs), np.nan)
+    squares = total = 0.0
+    order = np.argsort(weights, kind="stable").tolist()
+    at = 0
+    for i, limit in enumerate(cutoffs.tolist()):
+        while at < len(order) and weights[order[at]] <= limit:
+            e = order[at]
+            at += 1
+            a, b, w = find(int(g.u[e])), find(int(g.v[e])), float(weights[e])
+            if a != b:
+                squares += 2 * strength[a] * strength[b]
+                parent[b] = a
+                strength[a] += strength[b]
+            squares += 4 * w * (strength[a] + w)
+            strength[a] += 2 * w
+            total += w
+        if total > 0:
+            out[i] = 1 - squares / (4 * total * total)
+    return out
+
+
+def cut(g: Graph, weights: np.ndarray, steps: int = 50, drop: float = 0.01) -> tuple[float, np.ndarray] | None:
+    """Communities by dropping edges heavier than a cutoff: the highest one, below the largest weight, after which modularity falls by more than ``drop`` of itself; else the one of largest modularity."""
     if not len(weights) or weights.max() <= weights.min():
         return None
-    cutoffs = np.linspace(weights.max(), weights.min(), steps)
-    scores, labels = [], []
-    for c in cutoffs:
-        keep = weights <= c
-        label = components_of(g.n, g.u[keep], g.v[keep])
-        labels.append(label)
-        part = Graph.__new__(Graph)
-        part.n, part.u, part.v = g.n, g.u[keep], g.v[keep]
-        scores.append(modularity(part, label, weights[keep]))
-    chosen = None
-    for i in range(steps - 1, 0, -1):
-        later, now = (scores[-1] if i == steps - 1 else scores[i + 1]), scores[i]
-        if later is not None and now is not None and later > now > 1e-4 and (later - now) / later > drop:
-            chosen = i + 1
-    if chosen is None or chosen >= steps:
-        known = [(s, -i) for i, s in enumerate(scores) if s is not None]
-        if not known:
-            return None
-        chosen = -max(known)[1]
-    return float(cutoffs[chosen]), labels[chosen]
+    cutoffs = np.linspace(weights.min(), weights.max(), steps)
+    q = filtration_modularity(g, weights, cutoffs)
+    if np.isnan(q).all():
+        return None
+    with np.errstate(invalid="ignore", divide="ignore"):
+        falls = (q[1:-1] > 1e-4) & (q[:-2] > q[1:-1]) & ((q[:-2] - q[1:-1]) / q[:-2] > drop)
+    before = np.flatnonzero(falls)
+    chosen = before[-1] if len(before) else np.flatnonzero(q == np.nanmax(q))[-1]
+    keep = weights <= cutoffs[chosen]
+    return float(cutoffs[chosen]), components_of(g.n, g.u[keep], g.v[keep])
 
 
 def components_of(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -135,15 +161,32 @@ def _grouped(pairs: DataFrame, group: list[str], run, fields: str, extra: tuple[
         rows = run(frame)
         return pd.DataFrame([{**{k: frame[k].iloc[0] for k in group}, **r} for r in rows], columns=columns)
 
-    return pairs.select(*group, "a", "b", "weight", *extra).groupBy(*group).applyInPandas(body, f"{keys}, {fields}")
+    return spread(pairs.select(*group, "a", "b", "weight", *extra), group).groupBy(*group).applyInPandas(body, f"{keys}, {fields}")
 
 
-def daily_curvature(pairs: DataFrame, group: list[str], max_nodes: int = 500, how: str = "norm_similarity", alpha: float = 9.0) -> DataFrame:
+SCALARS = ("curvature_mean", "curvature_median", "curvature_min", "curvature_frac_negative", "curvature_weighted_mean")
+
+
+def daily_curvature(pairs: DataFrame, group: list[str], max_nodes: int = 500, how: str = "norm_similarity", alpha: float = 9.0, seconds: float | None = None) -> DataFrame:
+    """Scalars of each group. With ``seconds`` each group may take so long, and ``status`` says ok, timeout, or what failed; figures are null unless ok."""
+
     def run(frame):
         got = _graph(frame, max_nodes, how, alpha)
-        return [curvature_scalars(got[0], edge_curvature(*got), got[1])] if got else []
-
-    return _grouped(pairs, group, run, "curvature_mean double, curvature_median double, curvature_min double, curvature_frac_negative double, curvature_weighted_mean double, n_nodes int, n_edges int")
+        if not got:
+            return []
+        g, lengths = got
+        if seconds is None:
+            return [curvature_scalars(g, edge_curvature(g, lengths), lengths)]
+        try:
+            return [curvature_scalars(g, edge_curvature(g, lengths, until=time.monotonic() + seconds), lengths) | {"status": "ok"}]
+        except TimeoutError:
+            status = "timeout"
+        except (ArithmeticError, ValueError, np.linalg.LinAlgError) as e:
+            status = repr(e)
+        return [dict.fromkeys(SCALARS) | {"n_nodes": g.n, "n_edges": len(g.w), "status": status}]
+
+    fields = ", ".join(f"{c} double" for c in SCALARS) + ", n_nodes int, n_edges int"
+    return _grouped(pairs, group, run, fields if seconds is None else f"{fields}, status string")
 
 
 def edge_curvatures(pairs: DataFrame, group: list[str], max_nodes: int = 500, how: str = "norm_similarity", alpha: float = 9.0) -> DataFrame:

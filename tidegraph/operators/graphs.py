@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.functions.layers import repaired
+from tidegraph.operators.ranking import pruning_up_to
 
 
 def undirected(edges: DataFrame, group: list[str], weight: str, loops: bool = True, repair: bool = False) -> DataFrame:
@@ -29,7 +30,7 @@ def undirected(edges: DataFrame, group: list[str], weight: str, loops: bool = Tr
 
 def strongest(pairs: DataFrame, group: list[str], n: int) -> DataFrame:
     w = Window.partitionBy(*group).orderBy(F.desc(F.round("weight", 9)), "a", "b")
-    return pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    return pruning_up_to(pairs, n).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
 def pruned(pairs: DataFrame, group: list[str], n: int) -> DataFrame:
@@ -264,6 +265,14 @@ def centrality(name: str) -> tuple[Callable[[Graph], np.ndarray], bool]:
     return CENTRALITIES[base], of_edges
 
 
+def spread(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups dealt over twice as many tasks as a shuffle has (the same number would be taken for the partitioning that is there).
+
+    Their rows are few but their work is not, so adaptive execution must not merge the small partitions.
+    """
+    return rows.repartition(2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def node_scores(pairs: DataFrame, group: list[str], metrics: list[str]) -> DataFrame:
     """group, metric, address, score from one graph per group; a metric that fails on a graph is left out, the others stay."""
     known = [(m, centrality(m)[0]) for m in metrics]
@@ -280,7 +289,7 @@ def node_scores(pairs: DataFrame, group: list[str], metrics: list[str]) -> DataF
             parts.append(pd.DataFrame({**{k: frame[k].iloc[0] for k in group}, "metric": name, "address": g.names, "score": values}))
         return pd.concat(parts) if parts else pd.DataFrame({**{k: frame[k].iloc[:0] for k in group}, "metric": [], "address": [], "score": []})
 
-    return pairs.groupBy(*group).applyInPandas(run, f"{keys}, metric string, address string, score double")
+    return spread(pairs, group).groupBy(*group).applyInPandas(run, f"{keys}, metric string, address string, score double")
 
 
 def edge_scores(pairs: DataFrame, scores: DataFrame, group: list[str]) -> DataFrame:
@@ -302,7 +311,7 @@ def edge_betweenness_scores(pairs: DataFrame, group: list[str]) -> DataFrame:
         i, j = (np.array([e[c] for e in found], np.int64) for c in (0, 1))
         return pd.DataFrame({**{k: frame[k].iloc[0] for k in group}, "metric": "betweenness", "a": g.names[i], "b": g.names[j], "score": list(found.values())})
 
-    return pairs.groupBy(*group).applyInPandas(run, f"{keys}, metric string, a string, b string, score double")
+    return spread(pairs, group).groupBy(*group).applyInPandas(run, f"{keys}, metric string, a string, b string, score double")
 
 
 def centrality_ranks(pairs: DataFrame, group: list[str], metrics: list[str], top_n: int) -> DataFrame:
@@ -335,26 +344,38 @@ def efficient_centrality(sums: DataFrame, group: list[str], weights: list[str],
     return out
 
 
+def global_centrality(sums: DataFrame, weight: str, metrics: list[str], top_n: int, nodes: int, start: str, end: str) -> DataFrame:
+    """Ranks by centrality in one graph of a whole period, cut to the ``nodes`` of highest degree before it is built."""
+    rows = sums.where(F.col("date").between(F.lit(start), F.lit(end))).withColumns({"start_date": F.lit(start).cast("date"), "end_date": F.lit(end).cast("date")})
+    period = ["start_date", "end_date"]
+    return centrality_ranks(pruned(undirected(rows, period, weight, loops=False), period, nodes), period, metrics, top_n)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the session's folder; only where none is set, one below the warehouse is used."""
+    """Cut the lineage by a reliable checkpoint in the folder that the session names; without one, lost rows could not be read again."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return df.checkpoint()
 
 
-def connected_components(pairs: DataFrame, group: list[str], rounds: int = 100) -> DataFrame:
-    """group, address, component (its smallest address) for graphs of any size: smallest labels spread along edges until none changes."""
+def connected_components(pairs: DataFrame, group: list[str]) -> DataFrame:
+    """group, address, component (its smallest address) for graphs of any size and shape.
+
+    Each round a node takes the smallest label around it, then the label of the
+    node that its label names: labels travel twice as far each round, also along a
+    path. They only fall, so the rounds end by themselves.
+    """
     both = checkpointed(pairs.select(*group, F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select(*group, F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
     labels = checkpointed(both.groupBy(*group, F.col("x").alias("address")).agg(F.least(F.min("x"), F.min("y")).alias("component")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("address", "y"), [*group, "y"]).groupBy(*group, F.col("x").alias("address")).agg(F.min("component").alias("near"))
-        step = checkpointed(labels.join(near, [*group, "address"], "left").select(*group, "address", "component", F.least("component", F.coalesce("near", "component")).alias("new")))
-        changed = step.where("new <> component").limit(1).count()
+        spread = checkpointed(labels.join(near, [*group, "address"], "left").select(*group, "address", "component", F.least("component", F.coalesce("near", "component")).alias("new")))
+        named = spread.select(*group, "new").distinct().join(spread.select(*group, F.col("address").alias("new"), F.col("new").alias("jump")), [*group, "new"])
+        step = checkpointed(spread.join(named, [*group, "new"], "left").select(*group, "address", "component", F.least("new", F.coalesce("jump", "new")).alias("new")))
         labels = step.select(*group, "address", F.col("new").alias("component"))
-        if not changed:
+        if not step.where("new <> component").limit(1).count():
             return labels
-    raise ArithmeticError("components did not settle")
 
 
 def component_sizes(labels: DataFrame, group: list[str]) -> DataFrame:

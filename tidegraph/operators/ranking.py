@@ -27,10 +27,21 @@ def by_metric(sums: DataFrame, combinations: list[tuple[str, str]] | None = None
     return exploded.drop(*METRICS).select("*", "_m.*").drop("_m")
 
 
+LIMIT_THRESHOLD = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
+def pruning_up_to(rows: DataFrame, n: int) -> DataFrame:
+    """Spark prunes groups before a shuffle only up to a limit of the session (1000): raised to n, never lowered."""
+    conf = rows.sparkSession.conf
+    if 0 <= int(conf.get(LIMIT_THRESHOLD)) < n:
+        conf.set(LIMIT_THRESHOLD, str(n))
+    return rows
+
+
 def top_edges(scored: DataFrame, group: list[str], n: int) -> DataFrame:
     """The n best edges of each group, ranks from 1; ties by endpoints. Spark prunes groups before the shuffle."""
     order = Window.partitionBy(*group).orderBy(F.desc("score"), "from_addr", "to_addr")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return pruning_up_to(scored, n).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
 def node_ranks(top: DataFrame, group: list[str]) -> DataFrame:

@@ -2,8 +2,7 @@
 
 One task works on one (run, layer, date) group. Before that, edges are already
 cut to ranked nodes and summed by pair, so a group is a small graph; the node
-cap and the block guard are parameters, and rows say in ``status`` where the
-guard left something out.
+cap is a parameter. Both dimensions are complete at every size.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegraph.operators.graphs import Graph
+from tidegraph.operators.graphs import Graph, spread
 from tidegraph.operators.homology import diagram, diagram_distance
 
 POINTS = "array<struct<dim:int,birth:double,death:double>>"
@@ -76,23 +75,24 @@ def densified(g: Graph, how: str = "norm_similarity", alpha: float = 9.0) -> tup
     return d, near
 
 
-def daily_diagrams(pairs: DataFrame, group: list[str], max_nodes: int = 500, how: str = "norm_similarity", alpha: float = 9.0, max_block: int = 150, least_rows: int = 3) -> DataFrame:
-    """group, n_nodes, n_edges, status, dgm of every group with enough rows and three nodes."""
+def daily_diagrams(pairs: DataFrame, group: list[str], max_nodes: int = 500, how: str = "norm_similarity", alpha: float = 9.0, least_rows: int = 3) -> DataFrame:
+    """group, n_nodes, n_edges, dgm of every group with enough rows and three nodes."""
     keys = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in group)
-    big = pairs.withColumn("_n", F.count("*").over(Window.partitionBy(*group))).where(F.col("_n") >= least_rows).drop("_n")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        head = {k: frame[k].iloc[:1].tolist() for k in group}
+        nothing = pd.DataFrame({**{k: [] for k in head}, "n_nodes": [], "n_edges": [], "dgm": []})
+        if len(frame) < least_rows:
+            return nothing
         frame = frame.sort_values(["a", "b"])
         g = capped(Graph(frame["a"], frame["b"], frame["weight"]), max_nodes)
-        head = {k: frame[k].iloc[:1].tolist() for k in group}
         if g.n < 3 or not len(g.w):
-            return pd.DataFrame({**{k: [] for k in head}, "n_nodes": [], "n_edges": [], "status": [], "dgm": []})
-        d, near = densified(g, how, alpha)
-        found, status = diagram(d, near, max_block)
+            return nothing
+        found = diagram(*densified(g, how, alpha))
         points = [{"dim": k, "birth": float(b), "death": float(e)} for k in (0, 1) for b, e in found[k]]
-        return pd.DataFrame({**head, "n_nodes": [g.n], "n_edges": [len(g.w)], "status": [status], "dgm": [points]})
+        return pd.DataFrame({**head, "n_nodes": [g.n], "n_edges": [len(g.w)], "dgm": [points]})
 
-    return big.groupBy(*group).applyInPandas(run, f"{keys}, n_nodes int, n_edges int, status string, dgm {POINTS}")
+    return spread(pairs.select(*group, "a", "b", "weight"), group).groupBy(*group).applyInPandas(run, f"{keys}, n_nodes int, n_edges int, dgm {POINTS}")
 
 
 def point_cloud_diagrams(vectors: DataFrame, group: str, vector: str) -> DataFrame:
@@ -104,12 +104,12 @@ def point_cloud_diagrams(vectors: DataFrame, group: str, vector: str) -> DataFra
         d = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0))
         d = np.maximum(d, d.T)  # the product may differ in the last bit, and a triangle must have one length
         np.fill_diagonal(d, 0)
-        found, status = diagram(scaled(d), None, len(x))
+        found = diagram(scaled(d))
         points = [{"dim": k, "birth": float(b), "death": float(e)} for k in (0, 1) for b, e in found[k]]
-        return pd.DataFrame({group: frame[group].iloc[:1].tolist(), "n_points": [len(x)], "status": [status], "dgm": [points]})
+        return pd.DataFrame({group: frame[group].iloc[:1].tolist(), "n_points": [len(x)], "dgm": [points]})
 
     kind = vectors.schema[group].dataType.simpleString()
-    return vectors.groupBy(group).applyInPandas(run, f"`{group}` {kind}, n_points int, status string, dgm {POINTS}")
+    return spread(vectors, [group]).groupBy(group).applyInPandas(run, f"`{group}` {kind}, n_points int, dgm {POINTS}")
 
 
 def lifetimes(dim: int | None = None, dgm: str = "dgm") -> Column:
@@ -213,7 +213,7 @@ def distance_series(diagrams: DataFrame, by: list[str], metric: str = "wasserste
     def between(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([diagram_distance(as_arrays(x), as_arrays(y), metric) for x, y in zip(a, b)], dtype=float)
 
-    return rows.select(*by, "date", between("before", "dgm").alias("value"), "gap_days")
+    return spread(rows, [*by, "date"]).select(*by, "date", between("before", "dgm").alias("value"), "gap_days")
 
 
 def boundary_distances(rows: DataFrame, metric: str = "wasserstein") -> DataFrame:

@@ -116,3 +116,10 @@ def lagged_agreement(labels: DataFrame, a: str, b: str, lags: range, order: str
     wide = labels.select(by, a, *(F.lead(b, k).over(w).alias(f"_{k}") for k in lags))
     long = wide.select(by, a, F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"_{k}").alias("later")) for k in lags))).alias("p")).select(by, a, "p.*").where("later IS NOT NULL")
     return long.groupBy(by, "lag").agg(F.avg((F.col(a) == F.col("later")).cast("double")).alias("agreement"), F.count("*").alias("n"))
+
+
+def in_every_arm(rows: DataFrame, keys: list[str], arm: str) -> DataFrame:
+    """Rows whose key occurs under every value of ``arm`` that the table has."""
+    arms = rows.agg(F.count_distinct(arm).alias("arms"))  # one row
+    common = rows.groupBy(*keys).agg(F.count_distinct(arm).alias("n_arms")).join(F.broadcast(arms), F.col("n_arms") == F.col("arms")).select(*keys)
+    return rows.join(common, keys, "left_semi")

@@ -9,14 +9,16 @@ from tidegraph.operators import audit, curvature, graphs, ranking, topology
 from tidegraph.operators import series as S
 from tidegraph.plans import runs
 from tidegraph.queries.base import USER_EDGES, canonical, query, rounded
-from tidegraph.queries.relational import LAYER, RANKED, daily_ranks
+from tidegraph.queries.relational import END, LAYER, RANKED, START, daily_ranks
 from tidegraph.sources import documents
 from tidegraph.sources.edges import ship_transactions, table
 
 GROUP = ["date"]
 PAIRS = f"""{USER_EDGES}, pairs AS (SELECT date, from_addr AS a, to_addr AS b, CAST(sum(tx_count) AS DOUBLE) AS weight FROM canon WHERE from_addr <> to_addr GROUP BY 1, 2, 3),
-strong AS (SELECT date, a, b, weight FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY round(weight, 9) DESC, a, b) AS r FROM pairs) WHERE r <= 60),
-ends AS (SELECT date, a AS x, b AS y, weight FROM strong UNION ALL SELECT date, b, a, weight FROM strong)"""
+strong AS (SELECT date, a, b, weight FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY round(weight, 9) DESC, a, b) AS r FROM pairs) WHERE r <= 2000),
+ends AS (SELECT date, a AS x, b AS y, weight FROM pairs UNION ALL SELECT date, b, a, weight FROM pairs)"""
+#: Edges that a day's graph keeps for centralities, and nodes that a pruned one keeps: limits that the operators have by design.
+TOP_EDGES, TOP_NODES = 2000, 500
 TOPOLOGY_RUNS = [runs.Run("simple_top40", "simple_txs_ALL", daily_top=40, rank_col="top_rank"), runs.Run("contract_band", "contract_txs_ALL", daily_top=(0, 40), rank_col="top_rank")]
 
 
@@ -24,8 +26,8 @@ def pairs(spark, sf_dir):
     return graphs.undirected(canonical(spark, sf_dir), GROUP, "tx_count", loops=False)
 
 
-def strong(spark, sf_dir, n: int = 60):
-    return graphs.strongest(pairs(spark, sf_dir), GROUP, n)
+def strong(spark, sf_dir):
+    return graphs.strongest(pairs(spark, sf_dir), GROUP, TOP_EDGES)
 
 
 @query("g03_undirected", f"WITH {USER_EDGES} SELECT date, from_addr AS a, to_addr AS b, round(sum(CASE WHEN total_gas_fees IS NULL OR total_gas_fees <= 0 THEN 1e-6 ELSE total_gas_fees END), 6) AS weight FROM canon GROUP BY 1, 2, 3")
@@ -34,9 +36,9 @@ def undirected(spark, sf_dir):
 
 
 @query("g02_pruned", f"""WITH {PAIRS}, e AS (SELECT date, a AS x FROM pairs UNION ALL SELECT date, b FROM pairs), d AS (SELECT date, x, row_number() OVER (PARTITION BY date ORDER BY count(*) DESC, x) AS r FROM e GROUP BY 1, 2)
-SELECT p.date, a, b, weight FROM pairs p JOIN d d1 ON d1.date = p.date AND d1.x = a AND d1.r <= 30 JOIN d d2 ON d2.date = p.date AND d2.x = b AND d2.r <= 30""")
+SELECT p.date, a, b, weight FROM pairs p JOIN d d1 ON d1.date = p.date AND d1.x = a AND d1.r <= 500 JOIN d d2 ON d2.date = p.date AND d2.x = b AND d2.r <= 500""")
 def pruned(spark, sf_dir):
-    return graphs.pruned(pairs(spark, sf_dir), GROUP, 30)
+    return graphs.pruned(pairs(spark, sf_dir), GROUP, TOP_NODES)
 
 
 @query("g04_strongest", f"WITH {PAIRS} SELECT * FROM strong")
@@ -46,7 +48,7 @@ def strongest(spark, sf_dir):
 
 @query("g06_g07_degree_strength", f"WITH {PAIRS} SELECT date, x AS address, count(*) AS degree, sum(weight) AS strength FROM ends GROUP BY 1, 2")
 def degree(spark, sf_dir):
-    return graphs.degrees(strong(spark, sf_dir), GROUP)
+    return graphs.degrees(pairs(spark, sf_dir), GROUP)
 
 
 def _rank_sql(steps: int) -> str:
@@ -59,15 +61,15 @@ l AS (SELECT e.date, e.x, e.y, e.weight / o.o AS share FROM ends e JOIN o ON o.d
 
 @query("g05_page_rank_steps", _rank_sql(3))
 def page_rank_steps(spark, sf_dir):
-    return rounded(graphs.fixed_page_rank(strong(spark, sf_dir), GROUP, 3), 9)
+    return rounded(graphs.fixed_page_rank(pairs(spark, sf_dir), GROUP, 3), 9)
 
 
-@query("g12_clustering", f"""WITH {PAIRS}, m AS (SELECT date, max(weight) AS m FROM strong GROUP BY 1), t AS (SELECT e1.date, e1.x, pow((e1.weight / m) * (e2.weight / m) * (e3.weight / m), 1.0 / 3) AS t
+@query("g12_clustering", f"""WITH {PAIRS}, m AS (SELECT date, max(weight) AS m FROM pairs GROUP BY 1), t AS (SELECT e1.date, e1.x, pow((e1.weight / m) * (e2.weight / m) * (e3.weight / m), 1.0 / 3) AS t
 FROM ends e1 JOIN ends e2 ON e2.date = e1.date AND e2.x = e1.x AND e2.y > e1.y JOIN ends e3 ON e3.date = e1.date AND e3.x = e1.y AND e3.y = e2.y JOIN m ON m.date = e1.date),
 d AS (SELECT date, x, count(*) AS d FROM ends GROUP BY 1, 2), s AS (SELECT date, x, sum(t) AS s FROM t GROUP BY 1, 2)
 SELECT d.date, d.x AS address, round(CASE WHEN d >= 2 THEN 2 * coalesce(s, 0) / (d * (d - 1)) ELSE 0 END, 6) AS score FROM d LEFT JOIN s ON s.date = d.date AND s.x = d.x""")
 def clustering(spark, sf_dir):
-    return rounded(graphs.node_scores(strong(spark, sf_dir), GROUP, ["clustering"]).drop("metric"))
+    return rounded(graphs.node_scores(pairs(spark, sf_dir), GROUP, ["clustering"]).drop("metric"))
 
 
 @query("g05_g16_node_scores")
@@ -77,18 +79,35 @@ def node_scores(spark, sf_dir):
 
 @query("g13_g15_centrality_ranks")
 def centrality_ranks(spark, sf_dir):
-    return graphs.centrality_ranks(strong(spark, sf_dir), GROUP, ["page_rank", "k_core", "strength_edge", "betweenness_edge"], 20)
+    return graphs.centrality_ranks(strong(spark, sf_dir), GROUP, ["page_rank", "k_core", "strength_edge", "betweenness_edge"], TOP_EDGES)
 
 
 @query("r04_r05_pruned_centrality")
 def pruned_centrality(spark, sf_dir):
     """Centralities of the full daily graph cut to its nodes of highest degree."""
-    return graphs.centrality_ranks(graphs.pruned(pairs(spark, sf_dir), GROUP, 40), GROUP, ["degree", "page_rank", "hits_hub", "eigenvector", "betweenness"], 20)
+    return graphs.centrality_ranks(graphs.pruned(pairs(spark, sf_dir), GROUP, TOP_NODES), GROUP, ["degree", "page_rank", "hits_hub", "eigenvector", "betweenness"], TOP_EDGES)
+
+
+@query("r04_global_centrality", f"""WITH {USER_EDGES}, p AS (SELECT from_addr AS a, to_addr AS b, CAST(sum(tx_count) AS DOUBLE) AS w FROM canon WHERE from_addr <> to_addr AND date BETWEEN '{START}' AND '{END}' GROUP BY 1, 2),
+e0 AS (SELECT a AS x FROM p UNION ALL SELECT b FROM p), best AS (SELECT x, row_number() OVER (ORDER BY count(*) DESC, x) AS r FROM e0 GROUP BY 1),
+k AS (SELECT p.* FROM p JOIN best f ON f.x = a AND f.r <= 500 JOIN best g ON g.x = b AND g.r <= 500), e AS (SELECT a AS x, w FROM k UNION ALL SELECT b, w FROM k),
+s AS (SELECT x, CAST(count(*) AS DOUBLE) AS degree, sum(w) AS strength FROM e GROUP BY 1), l AS (SELECT x, unnest(['degree', 'strength']) AS metric, unnest([degree, strength]) AS score FROM s),
+r AS (SELECT metric, x, row_number() OVER (PARTITION BY metric ORDER BY round(score, 12) DESC, x) AS r FROM l)
+SELECT DATE '{START}' AS start_date, DATE '{END}' AS end_date, metric, x AS address, CAST(r AS INTEGER) AS top_rank, CAST(r AS INTEGER) AS bottom_rank FROM r WHERE r <= 2000""")
+def global_centrality(spark, sf_dir):
+    """One graph of a whole period, cut to its nodes of highest degree."""
+    return graphs.global_centrality(canonical(spark, sf_dir), "tx_count", ["degree", "strength"], TOP_EDGES, TOP_NODES, START, END)
+
+
+@query("c10_limited_curvature")
+def limited_curvature(spark, sf_dir):
+    """Each day with a time limit of its own and a status."""
+    return rounded(curvature.daily_curvature(pairs(spark, sf_dir), GROUP, seconds=120.0))
 
 
 @query("r06_efficient_centrality")
 def efficient(spark, sf_dir):
-    return graphs.efficient_centrality(canonical(spark, sf_dir), GROUP, ["tx_count", "tx_value"], ["page_rank", "strength", "k_core", "clustering"], 50)
+    return graphs.efficient_centrality(canonical(spark, sf_dir), GROUP, ["tx_count", "tx_value"], ["page_rank", "strength", "k_core", "clustering"], TOP_EDGES)
 
 
 COMPONENTS = f"""WITH RECURSIVE {PAIRS}, walk AS (SELECT DISTINCT date, x, x AS y FROM ends UNION SELECT w.date, w.x, e.y FROM walk w JOIN ends e ON e.date = w.date AND e.x = w.y), c AS (SELECT date, x, min(y) AS c FROM walk GROUP BY 1, 2), s AS (SELECT date, c, count(*) AS s FROM c GROUP BY 1, 2)
@@ -97,23 +116,23 @@ SELECT date, count(*) AS n_components, max(s) AS largest, round(max(s) / sum(s),
 
 @query("c03_components", COMPONENTS)
 def components(spark, sf_dir):
-    c = curvature.communities(strong(spark, sf_dir), GROUP, least=1_000_000)
+    c = curvature.communities(pairs(spark, sf_dir), GROUP, max_nodes=1 << 30, least=1 << 30)
     return rounded(c.select("date", F.col("n_components").cast("bigint").alias("n_components"), F.col("largest_component").cast("bigint").alias("largest"), F.col("largest_component_frac").alias("largest_frac")))
 
 
 @query("c03_components_by_joins", COMPONENTS)
 def components_by_joins(spark, sf_dir):
-    return rounded(graphs.component_sizes(graphs.connected_components(strong(spark, sf_dir), GROUP), GROUP))
+    return rounded(graphs.component_sizes(graphs.connected_components(pairs(spark, sf_dir), GROUP), GROUP))
 
 
 def daily_topology(spark, sf_dir):
-    return topology.daily_diagrams(strong(spark, sf_dir), GROUP)
+    return topology.daily_diagrams(pairs(spark, sf_dir), GROUP)
 
 
 @query("t02_t07_diagrams")
 def diagrams(spark, sf_dir):
     d = daily_topology(spark, sf_dir)
-    return rounded(d.select("date", "n_nodes", "n_edges", "status", F.explode("dgm").alias("p")).select("date", "n_nodes", "n_edges", "status", "p.*"))
+    return rounded(d.select("date", "n_nodes", "n_edges", F.explode("dgm").alias("p")).select("date", "n_nodes", "n_edges", "p.*"))
 
 
 @query("t09_persistence_features")
@@ -129,8 +148,10 @@ def features(spark, sf_dir):
 
 @query("t10_t11_distance_series")
 def distances(spark, sf_dir):
-    d = daily_topology(spark, sf_dir).withColumn("run", F.lit("all"))
-    both = topology.stacked(d.select("run", "date", "dgm").union(d.select("run", "date", "dgm")), ["run", "date"])
+    """Distances between days, by both metrics, and between the days of two layers stacked; each diagram is made once."""
+    d = graphs.checkpointed(daily_topology(spark, sf_dir).withColumn("run", F.lit("all")))
+    layers, _ = runs.diagrams(canonical(spark, sf_dir), TOPOLOGY_RUNS, daily_ranks(spark, sf_dir))
+    both = topology.stacked(layers.select(F.lit("all").alias("run"), "date", "dgm"), ["run", "date"])
     w, b = topology.distance_series(d, ["run"]), topology.distance_series(d, ["run"], "bottleneck").select("run", "date", F.col("value").alias("bottleneck"))
     twice = topology.distance_series(both, ["run"]).select("run", "date", F.col("value").alias("stacked"))
     return rounded(w.join(b, ["run", "date"]).join(twice, ["run", "date"]))
@@ -140,7 +161,7 @@ def distances(spark, sf_dir):
 def boundaries(spark, sf_dir):
     """Monthly graphs of shipments: distances within each year, and across the turn of the year."""
     t = ship_transactions(spark, sf_dir).where("value = 0").select(F.trunc("date", "month").alias("date"), F.col("from_address").alias("from_addr"), F.col("to_address").alias("to_addr"), "gas_used")
-    d = topology.daily_diagrams(graphs.strongest(graphs.undirected(t, GROUP, "gas_used"), GROUP, 80), GROUP).withColumn("series_id", F.lit("ship"))
+    d = topology.daily_diagrams(graphs.strongest(graphs.undirected(t, GROUP, "gas_used"), GROUP, TOP_EDGES), GROUP).withColumn("series_id", F.lit("ship"))
     yearly = topology.distance_series(d.withColumn("y", F.year("date")), ["series_id", "y"]).select("series_id", "date", "value")
     turns = topology.boundary_distances(S.year_boundaries(d, "dgm"))
     return rounded(S.stitched(yearly.unionByName(turns.select("series_id", "date", "value"))))
@@ -152,14 +173,20 @@ def point_clouds(spark, sf_dir):
     return rounded(topology.daily_features(topology.point_cloud_diagrams(v, "label", "embedding")).drop("dgm"))
 
 
+def ranked_pairs(spark, sf_dir):
+    """Pairs of the first run: its layer, between the nodes that its daily ranking chooses, as the flow of lengths is meant to be used."""
+    rows = runs.selected(canonical(spark, sf_dir), TOPOLOGY_RUNS[0], daily_ranks(spark, sf_dir))
+    return graphs.undirected(rows, GROUP, "tx_count", repair=True)
+
+
 @query("c01_curvature")
 def curvatures(spark, sf_dir):
-    return rounded(curvature.daily_curvature(strong(spark, sf_dir), GROUP))
+    return rounded(curvature.daily_curvature(pairs(spark, sf_dir), GROUP))
 
 
 @query("c02_curvature_bytes")
 def curvature_bytes(spark, sf_dir):
-    base = strong(spark, sf_dir)
+    base = pairs(spark, sf_dir)
     size = canonical(spark, sf_dir).groupBy("date", F.col("from_addr").alias("a"), F.col("to_addr").alias("b")).agg(F.avg("total_input_bytes").alias("bytes"))
     joined = curvature.edge_curvatures(base, GROUP).join(size, ["date", "a", "b"])
     return rounded(audit.right_closed_bins(joined, "bytes", "curvature", 25))
@@ -167,18 +194,18 @@ def curvature_bytes(spark, sf_dir):
 
 @query("c04_c07_communities")
 def communities(spark, sf_dir):
-    return rounded(curvature.communities(strong(spark, sf_dir, 40), GROUP, least=10))
+    return rounded(curvature.communities(ranked_pairs(spark, sf_dir), GROUP))
 
 
 @query("c08_curvature_persistence")
 def curvature_persistence(spark, sf_dir):
-    return rounded(topology.persistence_features(curvature.curvature_persistence(strong(spark, sf_dir, 40), GROUP)).drop("dgm"))
+    return rounded(topology.persistence_features(curvature.curvature_persistence(pairs(spark, sf_dir), GROUP)).drop("dgm"))
 
 
 @query("c09_community_bands")
 def community_bands(spark, sf_dir):
-    base = strong(spark, sf_dir, 40)
-    members = curvature.communities(base, GROUP, members=True, least=10)
+    base = ranked_pairs(spark, sf_dir)
+    members = curvature.communities(base, GROUP, members=True)
     size = canonical(spark, sf_dir).groupBy("date", F.col("from_addr").alias("a"), F.col("to_addr").alias("b")).agg(F.avg("total_input_bytes").alias("bytes"))
     means = curvature.incident_means(base.join(size, ["date", "a", "b"]), GROUP, "bytes")
     from tidegraph.functions.layers import byte_band
@@ -222,6 +249,6 @@ def sweep(spark, sf_dir):
 
 @query("r11_trailing_topology")
 def trailing_topology(spark, sf_dir):
-    edges = ranking.trailing_edges(canonical(spark, sf_dir), 40).where(condition("simple_txs_ALL"))
+    edges = ranking.trailing_edges(canonical(spark, sf_dir), 750).where(condition("simple_txs_ALL"))
     d = topology.daily_diagrams(graphs.undirected(edges, GROUP, "tx_count", repair=True), GROUP).withColumn("run", F.lit("trailing"))
     return rounded(runs.features(d).drop("dgm"))

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tidegraph.functions import layers as L
 from tidegraph.functions import scalars
-from tidegraph.operators import audit, ingest, ranking
+from tidegraph.operators import audit, ingest, ranking, validation
+from tidegraph.plans import fetch
 from tidegraph.queries.base import SHIP, USER_EDGES, canonical, query, rounded
 from tidegraph.sources import edges as E
 
-TOP, START, END = 50, "2024-01-05", "2024-01-20"
+TOP, START, END = 2000, "2024-01-05", "2024-01-20"
 BRANDS = {"brand#1": 6, "brand#2": 6, "brand#3": 8}
 
 _layer_rows = " UNION ALL ".join(f"SELECT '{name}' AS filter, * FROM canon WHERE {rule.replace('<=>', 'IS NOT DISTINCT FROM')}" for name, rule in L.LAYERS.items())
@@ -217,11 +218,11 @@ def trailing_sums(spark, sf_dir):
     return ranking.trailing_sums(E.user_edges(spark, sf_dir))
 
 
-@query("w14_trailing_edges", f"""WITH {TRAILING}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY trailing_sum DESC, from_addr, to_addr) AS r FROM trail) WHERE r <= 100),
+@query("w14_trailing_edges", f"""WITH {TRAILING}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY trailing_sum DESC, from_addr, to_addr) AS r FROM trail) WHERE r <= 750),
 q AS (SELECT DISTINCT date, unnest([from_addr, to_addr]) AS address FROM top)
 SELECT date, from_addr, to_addr, CAST(sum(tx_count) AS BIGINT) AS tx_count FROM edges e WHERE EXISTS (SELECT 1 FROM q WHERE q.date = e.date AND q.address = e.from_addr) AND EXISTS (SELECT 1 FROM q WHERE q.date = e.date AND q.address = e.to_addr) GROUP BY 1, 2, 3""")
 def trailing_edges(spark, sf_dir):
-    return ingest.pair_sums(ranking.trailing_edges(E.user_edges(spark, sf_dir), 100), ["date", "from_addr", "to_addr"], ["tx_count"])
+    return ingest.pair_sums(ranking.trailing_edges(E.user_edges(spark, sf_dir), 750), ["date", "from_addr", "to_addr"], ["tx_count"])
 
 
 @query("a11_daily_counts", f"WITH {USER_EDGES} SELECT date, n_edges, n_nodes FROM (SELECT date, count(*) AS n_edges FROM canon GROUP BY 1) JOIN (SELECT date, count(DISTINCT address) AS n_nodes FROM (SELECT date, unnest([from_addr, to_addr]) AS address FROM canon) GROUP BY 1) USING (date)")
@@ -266,9 +267,12 @@ def log_histogram(spark, sf_dir):
     return audit.log_histogram(canonical(spark, sf_dir), "tx_value", 0.01, 1000)
 
 
-@query("a23_binned", f"WITH {USER_EDGES} SELECT CAST(ceil(total_input_bytes / 25) - 1 AS INTEGER) AS bin, round(avg(total_gas_fees), 6) AS mean, round(median(total_gas_fees), 6) AS median, count(total_gas_fees) AS n FROM canon WHERE total_input_bytes > 0 GROUP BY 1")
+@query("a23_binned", f"""WITH {USER_EDGES}, m AS (SELECT total_input_bytes, CAST(round(total_gas_fees * 1000) AS BIGINT) AS fees FROM canon)
+SELECT CAST(ceil(total_input_bytes / 25) - 1 AS INTEGER) AS bin, round(CAST(sum(fees) AS DOUBLE) / count(fees), 6) AS mean, round(median(fees), 6) AS median, count(fees) AS n FROM m WHERE total_input_bytes > 0 GROUP BY 1""")
 def binned(spark, sf_dir):
-    return rounded(audit.right_closed_bins(canonical(spark, sf_dir), "total_input_bytes", "total_gas_fees", 25))
+    """Fees in whole thousandths, so that no order of addition matters."""
+    rows = canonical(spark, sf_dir).withColumn("fees", F.round(F.col("total_gas_fees") * 1000).cast("bigint"))
+    return rounded(audit.right_closed_bins(rows, "total_input_bytes", "fees", 25))
 
 
 @query("a24_correlation", f"WITH {USER_EDGES} SELECT round(corr(total_input_bytes, tx_value), 6) AS corr, count(*) AS n FROM canon")
@@ -373,3 +377,24 @@ def later_wins(spark, sf_dir):
     first = c.groupBy("date").agg(F.count("*").alias("n")).withColumn("version", F.lit(1))
     second = c.where(F.dayofmonth("date") % 2 == 0).groupBy("date").agg((F.sum("tx_count") * 10).alias("n")).withColumn("version", F.lit(2))
     return E.deduplicated(first.unionByName(second), ["date"], "version").select("date", "n")
+
+
+@query("r07_pending_ranges", f"""WITH {SHIP}, b AS (SELECT min(block_number) AS lo, max(block_number) AS hi FROM tx), r AS (SELECT unnest(generate_series(lo, hi, 1000)) AS lo, hi AS top FROM b), ranges AS (SELECT lo, least(lo + 999, top) AS hi FROM r),
+done AS (SELECT lo FROM ranges WHERE lo // 1000 % 3 = 0)
+SELECT r.lo, r.hi, count(*) AS n_transactions, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM ranges r JOIN tx ON block_number BETWEEN r.lo AND r.hi WHERE r.lo NOT IN (SELECT lo FROM done) GROUP BY 1, 2""")
+def pending_ranges(spark, sf_dir):
+    """Ranges of blocks that an earlier run has not fetched, with what they hold; every third one counts as fetched."""
+    tx = E.ship_transactions(spark, sf_dir)
+    low, high = tx.agg(F.min("block_number"), F.max("block_number")).first()
+    ranges = E.key_ranges(spark, low, high, 1000)
+    left = fetch.pending(ranges, ranges.where(F.floor(F.col("lo") / 1000) % 3 == 0))
+    return fetch.rows_of(tx, left, "block_number", low, 1000).groupBy("lo", "hi").agg(F.count("*").alias("n_transactions"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"))
+
+
+@query("j11_common_predictions", f"""WITH {USER_EDGES}, p AS (SELECT date, CASE WHEN tx_value > 0 THEN 'paid' WHEN total_input_bytes > 300 THEN 'large' ELSE 'other' END AS arm, from_addr, sum(tx_count) AS n FROM canon GROUP BY ALL),
+k AS (SELECT date, from_addr FROM p GROUP BY 1, 2 HAVING count(DISTINCT arm) = 3) SELECT date, from_addr, arm, CAST(n AS BIGINT) AS n FROM p JOIN k USING (date, from_addr)""")
+def common_predictions(spark, sf_dir):
+    """Rows whose key every arm has: what several models can be compared on."""
+    arm = F.when(F.col("tx_value") > 0, "paid").when(F.col("total_input_bytes") > 300, "large").otherwise("other")
+    rows = canonical(spark, sf_dir).groupBy("date", arm.alias("arm"), "from_addr").agg(F.sum("tx_count").alias("n"))
+    return validation.in_every_arm(rows, ["date", "from_addr"], "arm").select("date", "from_addr", "arm", "n")

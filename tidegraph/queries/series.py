@@ -106,9 +106,16 @@ def normality(spark, sf_dir):
     return rounded(S.summary(daily).select("series_id", "z_skewness", "p_skewness", "z_kurtosis", "p_kurtosis").join(S.normality(daily), "series_id"))
 
 
-@query("x12_comparison", f"WITH {SERIES} SELECT series_id, count(*) AS n, round(max(value), 2) AS max, arg_max(date, value) AS max_date FROM series GROUP BY 1")
+@query("x12_comparison", f"""WITH {SERIES}, q AS (SELECT *, quantile_cont(value, 0.25) OVER (PARTITION BY series_id) AS q1, quantile_cont(value, 0.75) OVER (PARTITION BY series_id) AS q3, CASE WHEN count(value) OVER w >= 5 THEN (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) END AS z
+  FROM series WINDOW w AS ({_W} ROWS BETWEEN 15 PRECEDING AND 14 FOLLOWING))
+SELECT series_id, count(*) AS n, round(avg(value), 2) AS mean, round(median(value), 2) AS median, round(stddev_samp(value), 2) AS std, round(skewness(value), 6) AS skewness, round(kurtosis(value), 6) AS kurtosis, round(100 * stddev_samp(value) / avg(value), 6) AS cv_percent, round(max(q3 - q1), 2) AS iqr,
+round(max(value), 2) AS max, arg_max(date, value) AS max_date, count(*) FILTER (WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS iqr_count, count(*) FILTER (WHERE abs(z) > 3) AS zscore_count FROM q GROUP BY 1""")
 def comparison(spark, sf_dir):
-    return daily_series(spark, sf_dir).groupBy("series_id").agg(F.count("*").alias("n"), F.round(F.max("value"), 2).alias("max"), F.max_by("date", "value").alias("max_date"))
+    """One row a series: its summary, its largest day, and how many days each method flags."""
+    daily = daily_series(spark, sf_dir)
+    flags = daily.withColumns({"iqr_flag": detectors.iqr_flag(), "z": detectors.rolling_z()})
+    counts = flags.groupBy("series_id").agg(F.count_if("iqr_flag").alias("iqr_count"), F.count_if(F.abs("z") > 3).alias("zscore_count"), F.round(F.max("value"), 2).alias("max"), F.max_by("date", "value").alias("max_date"))
+    return summary(spark, sf_dir).join(counts, "series_id")
 
 
 @query("x02_iqr_flags", f"""WITH {SERIES}, q AS (SELECT *, quantile_cont(value, 0.25) OVER (PARTITION BY series_id) AS q1, quantile_cont(value, 0.75) OVER (PARTITION BY series_id) AS q3 FROM series)
@@ -218,7 +225,7 @@ def auc(spark, sf_dir):
 
 @query("v01_paired_bootstrap")
 def bootstrap(spark, sf_dir):
-    return rounded(validation.paired_bootstrap(scored(spark, sf_dir), "y", "a", "b", n_boot=200))
+    return rounded(validation.paired_bootstrap(scored(spark, sf_dir), "y", "a", "b", n_boot=1000))
 
 
 RESULTS = f"results AS (SELECT erc20 AS target, date, round(avg(tx_value), 6) AS value, round(avg(tx_value) / 100, 9) AS p_value FROM canon GROUP BY 1, 2)"
