@@ -363,7 +363,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     digests = written(docs.mapInArrow(digest_batches, "id bigint, row int, n bigint, h1 bigint, h2 bigint, sketch binary"), "set-digests")
     usable = digests.where("id is not null and n > 0")
     grouped = usable.groupBy("h1", "h2").agg(F.min(F.struct("id", "row")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = written(grouped.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", F.col("rep.id").alias("id"), F.col("rep.row").alias("row"), "n", "sketch"), "set-classes")
+    # numbered in the order of keys: copies mostly follow what they were made from, so the first of a list is similar to most of it
+    ordered = grouped.select("h1", "h2", F.col("rep.id").alias("id"), F.col("rep.row").alias("row"), "n", "sketch").orderBy("id", "row", "h1")
+    classes = written(ordered.select(F.monotonically_increasing_id().alias("node"), "*"), "set-classes")
     sizes = {r["n"]: r["count"] for r in by_band(classes).collect()}  # as many rows as bands
     alone = digests.where("id is null or n = 0").select("id", "n", F.col("id").alias("component_id"), "row", F.lit(None).cast("boolean").alias("kept"))
     out = alone
