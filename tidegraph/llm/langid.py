@@ -48,11 +48,16 @@ def remainder(key: str, parts: int) -> Column:
 def bounded_sample(rows: DataFrame, group: str, by: str, most: int) -> DataFrame:
     """The rows of each value of ``group`` with the smallest hashes ``by``, one of equal ones, ``most`` at most; all if there are fewer.
 
-    A first cut by the number of different hashes keeps the sort small.
+    A first cut by the number of different hashes needs no shuffle of the rows.
+    These numbers come to the driver, one for each value, as the models made of the
+    sample do.
     """
     place = F.pmod(F.xxhash64(by), F.lit(1_000_003))
-    sizes = rows.groupBy(group).agg(F.approx_count_distinct(by).alias("_n"))
-    near = rows.join(sizes, group).where(place / F.lit(1_000_003.0) <= 1.3 * most / F.col("_n")).drop("_n")
+    sizes = rows.groupBy(group).agg(F.approx_count_distinct(by)).collect()
+    if not sizes:
+        return rows
+    limits = F.create_map(*(F.lit(x) for value, n in sizes for x in (value, min(1_000_003, int(1.3 * most / max(n, 1) * 1_000_003) + 1))))
+    near = rows.where(place <= F.element_at(limits, F.col(group)))
     nth = F.row_number().over(Window.partitionBy(group).orderBy(place, by))
     return near.dropDuplicates([group, by]).withColumn("_nth", nth).where(F.col("_nth") <= most).drop("_nth")
 
