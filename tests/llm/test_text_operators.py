@@ -290,6 +290,20 @@ def test_disguises_are_undone(spark):
     assert model.score(reader.total("a cat on a mat")) < 0.5 and model.score(reader.total(None)) < 0.5
 
 
+def test_memos_do_not_change_sums():
+    words = ["river", "r1ver", "riverside", "rrriver!!!", "m0r0n$$$", "moron,", "(moron)", "long", "roads", "l-o-n-g", "42", "%%%"]
+    rng = random.Random(1)
+    texts = [" ".join(rng.choices(words, k=8)) for _ in range(300)]
+    (found,) = list(toxicity.count_grams(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])))
+    lm = charlm.CharLM.of_grams("x", found.column(0).to_pylist(), found.column(1).to_numpy().astype(float))
+    weights = {"moron": 2.5, "river": 0.25, "^rive": 0.5, "42": 0.125}
+    small, large = toxicity.Reader(lm, weights, limit=1), toxicity.Reader(lm, weights)
+    small.decoder.limit = 1
+    for t in texts:
+        hits = dict(max(map(large.weigh, sorted(large.look(x))), key=lambda f: f[1]) for x in large.tokens(t))
+        assert small.total(t) == large.total(t) == large.total(t) == sum(hits.values())
+
+
 def test_disguises_among_shared_words(spark):
     """At a sentence's end, in quotes, behind a one-letter word: only the disguised word tells, all others are in both labels."""
     clean = ["the cat sat on a warm mat and slept", "we like long walks by the river", "this is a plain line of words", "good people read good books"]

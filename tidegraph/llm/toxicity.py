@@ -55,6 +55,8 @@ ALIKE_DROP_COST = 9.0
 EDGES = ".,;:?!\"'()[]{}<>«»“”„‘’…*_~`-"
 #: Single letters, digits or look-alike signs spelled apart; what stands before the first or behind the last one is no letter.
 SIGNS = "".join(sorted(c for c in LOOKALIKES if not c.isalnum()))
+#: Edge punctuation that is no look-alike: a word between such edges has one reading.
+PLAIN_EDGES = "".join(c for c in EDGES if c not in SIGNS)
 GAP = f"[{re.escape(''.join(sorted(SEPARATORS)))}]"
 UNIT = rf"(?:[^\W_]|[{re.escape(SIGNS)}])(?!['’]?[^\W_])"
 SPELLED = re.compile(rf"(?<!\w)(?<![^\W_]['’]){UNIT}(?:{GAP}{{1,5}}{UNIT}){{2,}}")
@@ -69,6 +71,7 @@ class Decoder:
     def __init__(self, lm: CharLM, limit: int = 300_000):
         self.lm, self.limit = lm, limit
         self.memo: dict[str, float] = {}
+        self.decoded: dict[str, str] = {}
 
     def log_p(self, before: str, letter: str) -> float:
         """log P(letter | the last two letters), from the same sorted arrays as whole words."""
@@ -81,11 +84,23 @@ class Decoder:
         return got
 
     def decode(self, token: str) -> str:
-        """The likeliest word behind ``token`` (lower case)."""
+        """The likeliest word behind ``token`` (lower case); memoised, as the same disguise stands between many edges."""
+        got = self.decoded.get(token)
+        if got is None:
+            if len(self.decoded) > self.limit:
+                self.decoded.clear()
+            got = self.decoded[token] = self.best_path(token)
+        return got
+
+    def best_path(self, token: str) -> str:
         mark = chr(BOUNDARY)
+        # letters before the first choice are on every path: what they cost decides nothing
+        clear = 0
+        while clear < len(token) and (c := token[clear]).isalpha() and c not in LOOKALIKES and c != token[clear - 1 : clear]:
+            clear += 1
         # state: the last two restored letters -> (cost, restored word, last raw letter)
-        states: dict[tuple[str, str], tuple[float, str]] = {(mark, ""): (0.0, "")}
-        for c in token:
+        states: dict[tuple[str, str], tuple[float, str]] = {((mark + token[:clear])[-2:], token[clear - 1 : clear]): (0.0, token[:clear])}
+        for c in token[clear:]:
             new: dict[tuple[str, str], tuple[float, str]] = {}
             letters = [(c, 0.0)] if c.isalpha() else []
             letters += [(x, SWAP_COST) for x in LOOKALIKES.get(c, "")]
@@ -109,22 +124,30 @@ class Decoder:
         return best[1]
 
 
+def mix(x: int) -> int:
+    """``mix64`` of one number."""
+    for _ in range(2):
+        x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF
+    return x ^ x >> 32
+
+
 def trigram_log_p(lm: CharLM, before: str, letter: str) -> float:
+    """The lookups of ``CharLM.score_words`` for one letter, without arrays."""
     p = lm.floor
-    letters = np.frombuffer((before + letter).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)[::-1]
-    h = mix64(letters[:1] + np.uint64(1))
-    c = np.full(1, 7, np.uint64)
-    for k in range(min(lm.order, len(letters))):
+    h, c = 0, 7
+    for k, code in enumerate(map(ord, reversed((before + letter)[-lm.order :]))):
+        h = mix(h * 0x9E3779B97F4A7C15 + code + 1 & 0xFFFFFFFFFFFFFFFF)
         if k:
-            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + letters[k : k + 1] + np.uint64(1))
-            c = mix64(c * np.uint64(0x9E3779B97F4A7C15) + letters[k : k + 1] + np.uint64(1))
-        ok = np.ones(1, bool)
-        gamma = lm._lookup(lm.context_keys[k], c, lm.backoff[k], 1.0, ok)[0, 0]
-        share = lm._lookup(lm.keys[k], h, lm.share[k], 0.0, ok)[0, 0]
-        p = share + gamma * p
+            c = mix(c * 0x9E3779B97F4A7C15 + code + 1 & 0xFFFFFFFFFFFFFFFF)
+        p = entry(lm.keys[k], h, lm.share[k], 0.0) + entry(lm.context_keys[k], c, lm.backoff[k], 1.0) * p
     return math.log(max(p, 1e-12))
 
 
+def entry(keys: np.ndarray, wanted: int, values: np.ndarray, default: float) -> np.float32:
+    at = keys.searchsorted(np.uint64(wanted))
+    return values[at, 0] if at < len(keys) and keys[at] == wanted else np.float32(default)
+
+
 def disguised(bare: str) -> bool:
     """Whether a token without its edge punctuation may hide a word: look-alikes count as letters, separators not at all."""
     if bare.isalpha():
@@ -168,7 +191,9 @@ class Reader:
     def __init__(self, lm: CharLM | None, weights: dict[str, float], limit: int = 200_000):
         self.decoder = Decoder(lm) if lm is not None else None
         self.weights, self.limit = weights, limit
-        self.known: dict[str, tuple[tuple[str, ...], str, float]] = {}
+        self.starts = {f[1 : 1 + min(PREFIXES)] for f in weights if f.startswith("^")}
+        self.idle: set[str] = set()  # tokens seen that hold no feature with a weight: most of all
+        self.telling: dict[str, tuple[str, float]] = {}
 
     def restore(self, bare: str) -> str:
         return self.decoder.decode(bare) if self.decoder is not None and disguised(bare) else bare
@@ -207,6 +232,8 @@ class Reader:
         """The strongest feature of a word: itself or its beginning."""
         w = self.weights
         name, best = word, w.get(word, 0.0)
+        if word[: min(PREFIXES)] not in self.starts:
+            return name, best
         for n in PREFIXES:
             if len(word) >= n + REST and (own := w.get("^" + word[:n], 0.0)) > best:
                 name, best = "^" + word[:n], own
@@ -220,29 +247,33 @@ class Reader:
         return found
 
     def words(self, text: str) -> set[str]:
-        return set().union(*(self.look(t)[0] for t in self.tokens(text))) - {""}
-
-    def look(self, token: str) -> tuple[tuple[str, ...], str, float]:
-        """All readings of a token (a spelled run begins with a blank), the strongest feature among them and that one's weight."""
-        got = self.known.get(token)
+        return set().union(*map(self.look, self.tokens(text))) - {""}
+
+    def look(self, token: str) -> set[str]:
+        """All readings of a token; a spelled run begins with a blank."""
+        bare = token.strip(PLAIN_EDGES)
+        if bare.isalpha() and not REPEATED.search(bare):  # the common case: nothing to restore
+            return {bare}
+        return self.spelled(token[1:]) if token[0] == " " else self.readings(token)
+
+    def feature(self, token: str) -> tuple[str, float]:
+        """The strongest feature among a token's readings, and its weight."""
+        got = self.telling.get(token)
         if got is None:
-            if len(self.known) > self.limit:
-                self.known.clear()
-            words = tuple(sorted(self.spelled(token[1:]) if token[0] == " " else self.readings(token)))
-            got = self.known[token] = (words, *max(map(self.weigh, words), key=lambda x: x[1]))
+            got = max(map(self.weigh, sorted(self.look(token))), key=lambda x: x[1])
+            if len(self.telling if got[1] else self.idle) > self.limit:
+                (self.telling if got[1] else self.idle).clear()
+            if got[1]:
+                self.telling[token] = got
+            else:
+                self.idle.add(token)
         return got
 
     def total(self, text: str | None) -> float:
         """Sum of the weights of the distinct features found."""
         if not text:
             return 0.0
-        hits: dict[str, float] = {}
-        known = self.known
-        for token in self.tokens(text):
-            got = known.get(token) or self.look(token)
-            if got[2]:
-                hits[got[1]] = got[2]
-        return sum(hits.values())
+        return math.fsum({name: weight for name, weight in map(self.feature, self.tokens(text) - self.idle) if weight}.values())
 
 
 _readers: dict[str, Reader] = {}
@@ -306,13 +337,15 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (w := token.strip(EDGES)).isalpha():
                 words[w] += n
         tokens.clear()
-        found: Counter = Counter()
-        for w, n in words.items():
-            marked = chr(BOUNDARY) + w + chr(BOUNDARY)
-            found[marked[:2]] += n
-            for i in range(len(marked) - 2):
-                found[marked[i : i + 3]] += n
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["gram", "n"])
+        # a code point has 21 bits: a run of three fits a number, and one of two leaves the upper bits empty
+        codes = np.frombuffer((chr(BOUNDARY) + "".join(w + chr(BOUNDARY) for w in words)).encode("utf-32-le"), "<u4").astype(np.int64)
+        ends = np.repeat(np.fromiter(words.values(), np.float64, len(words)), np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        older = np.concatenate([codes[:1], codes[:-2]])[: len(codes) - 1]
+        runs = np.where(codes[:-1] == BOUNDARY, 0, older << 42) | codes[:-1] << 21 | codes[1:]
+        kinds = pa.array(runs).dictionary_encode()
+        found = ["".join(map(chr, filter(None, (r >> 42, r >> 21 & 0x1FFFFF, r & 0x1FFFFF)))) for r in kinds.dictionary.to_pylist()]
+        n = np.bincount(kinds.indices.to_numpy(), ends, len(found)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(n)], ["gram", "n"])
 
     tokens: Counter = Counter()
     for batch in batches:
