@@ -239,3 +239,69 @@ def test_fetch_goes_on_where_it_stopped(spark, tmp_path):
     assert fetch.fetch(source, ranges, "block_number", 0, 10, path, sums) == 6
     assert fetch.fetch(source, ranges, "block_number", 0, 10, path, sums) == 0
     assert spark.read.parquet(path).agg(F.sum("value"), F.count("*")).first() == (99, 10)
+
+
+def plain_bootstrap(rows, metric, n_boot, seed=42):
+    """One generator, one resample after another, over the sorted rows."""
+    import numpy as np
+
+    a, b, y = np.array(sorted((a, b, y) for y, a, b in rows), float).T
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(n_boot):
+        i = rng.integers(0, len(y), len(y))
+        try:
+            out.append(metric(y[i], b[i]) - metric(y[i], a[i]))
+        except ValueError:
+            continue
+    d = np.array(out)
+    return (metric(y, b) - metric(y, a), *np.percentile(d, [2.5, 97.5]), min(1.0, 2 * min((d <= 0).mean(), (d >= 0).mean())), len(d))
+
+
+def test_bootstrap_is_one_stream_however_it_is_dealt(spark):
+    import numpy as np
+
+    from tidegraph.operators import validation
+
+    def error(y, score):
+        return float(((y - score) ** 2).mean())
+
+    r = np.random.default_rng(3)
+    groups = {"p": 1001, None: 340, "few": 4}
+    rows = [(g, int(y), float(a), float(b)) for g, n in groups.items() for y, a, b in zip(r.integers(0, 2, n) if n > 4 else (1, 0, 0, 0), r.integers(0, 9, n), r.integers(0, 40, n))]
+    table = spark.createDataFrame(rows, "g string, y int, a double, b double")
+    for metric in (validation.auc_of, error):
+        for work in (1 << 27, 7000):
+            got = {x["g"]: tuple(x)[1:] for x in validation.paired_bootstrap(table, "y", "a", "b", metric, n_boot=60, by=["g"], work=work).collect()}
+            assert got == {g: plain_bootstrap([x[1:] for x in rows if x[0] == g], metric, 60) for g in groups}
+    assert got["p"][-1] == 60 and len(got) == 3
+    assert plain_bootstrap([x[1:] for x in rows if x[0] == "few"], validation.auc_of, 60)[-1] < 60
+
+
+@pytest.mark.parametrize("n", [1, 3, 1000003, 2**31 + 5, 2**32, 2**32 + 9])
+def test_draws_from_any_place(n):
+    """Words that numpy rejects, nearly half of them at the fourth size, shift what follows."""
+    import itertools
+
+    import numpy as np
+
+    from tidegraph.operators import validation
+
+    want = np.random.default_rng(5).integers(0, n, 600000)
+    assert (np.concatenate(list(itertools.islice(validation.draws(5, n), 12)))[:600000] == want).all()
+    if n <= 2**32:
+        first = 299999
+        lost = first - sum(len(validation.drawn(w, n)) for w in validation.words(5, 0, first))
+        assert (lost > 100000) == (n == 2**31 + 5)
+        assert (np.concatenate(list(itertools.islice(validation.draws(5, n, first, lost), 4)))[:50] == want[first : first + 50]).all()
+
+
+def test_bootstrap_of_many_equal_rows(spark):
+    """Before, each of the resamples sorted all rows, in one task."""
+    import time
+
+    from tidegraph.operators import validation
+
+    table = spark.range(600000).select((F.col("id") % 7 < 3).cast("int").alias("y"), (F.col("id") % 10).cast("double").alias("a"), (F.col("id") % 70 / 7).alias("b"))
+    began = time.monotonic()
+    got = validation.paired_bootstrap(table, "y", "a", "b", n_boot=300).first()
+    assert time.monotonic() - began < 25 and got["n_valid"] == 300 and got["ci_low"] < got["observed_diff"] < got["ci_high"]
