@@ -100,6 +100,57 @@ def test_loops_of_larger_metrics(n):
     assert [tuple(p) for p in homology.loops(d).tolist()] == reduction(d)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_loops_that_live_long(seed):
+    """Rings, whose loops outlive the first reach of a chain, with near copies and outliers."""
+    rng = np.random.default_rng(seed)
+    turn = np.sort(rng.random(16)) * 2 * np.pi
+    x = np.concatenate([np.stack([np.cos(turn), np.sin(turn)], axis=1), rng.normal(scale=0.01, size=(6, 2)) + [1, 0], rng.normal(scale=3, size=(4, 2))])
+    if seed % 2:
+        x = np.round(x, 1)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert [tuple(p) for p in homology.loops(d).tolist()] == reduction(d)
+    assert (homology.loops(d, homology.spanning_forest(d)[0]) == homology.loops(d)).all()
+
+
+def test_carried_on_chains():
+    """A chain that is carried on is the sum that a chain of the whole reach is."""
+    x = np.random.default_rng(2).normal(size=(40, 3))
+    flag = homology.Flag(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)))
+    last = flag.size - 1
+
+    def build(limit):
+        one, two = homology.Chain(flag, 400, limit, most=20), homology.Chain(flag, 300, limit, most=20)
+        for e in (410, 415, 420, 415, 405):
+            one.add_edge(e)
+        for c in (one, one, one):
+            two.add_chain(c)
+        two.add_edge(350)
+        return two
+
+    whole, short = build(last), build(420)
+    assert short.pivot() == whole.pivot()
+    short.reach(600)
+    short.reach(last)
+    assert (short.gather() == whole.gather()).all() and len(whole.gather())
+    assert (homology.odd([flag.column(e, last) for e in (300, 350, 400, 405, 410, 420)]) == whole.gather()).all()
+
+
+def test_loops_of_many_points():
+    """Before, columns held all triangles over an edge and chains were sorted again and again."""
+    import time
+
+    x = np.random.default_rng(7).normal(size=(700, 64))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    square = (x * x).sum(axis=1)
+    d = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0))
+    d = np.maximum(d, d.T)
+    np.fill_diagonal(d, 0)
+    began = time.monotonic()
+    found = homology.loops(d)
+    assert time.monotonic() - began < 25 and len(found) > 2000 and (found[:, 1] > found[:, 0]).all() and np.isfinite(found).all()
+
+
 @pytest.mark.parametrize("seed", range(15))
 def test_blocks_give_the_whole(seed):
     """Loops of a graph metric are those of its biconnected blocks."""
