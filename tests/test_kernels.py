@@ -151,6 +151,46 @@ def test_loops_of_many_points():
     assert time.monotonic() - began < 25 and len(found) > 2000 and (found[:, 1] > found[:, 0]).all() and np.isfinite(found).all()
 
 
+def clouds_of_all_kinds():
+    rng = np.random.default_rng(11)
+    turn = np.sort(rng.random(14)) * 2 * np.pi
+    ring = np.stack([np.cos(turn), np.sin(turn)], axis=1)
+    yield from (rng.normal(size=(n, k)) for n, k in ((1, 3), (2, 3), (3, 2), (22, 2), (26, 5), (26, 64)))
+    yield np.concatenate([ring, ring[:4], ring + 0.01 * rng.normal(size=ring.shape)])
+    yield np.concatenate([ring, 3 * ring[:8] + [9, 0]])
+    yield np.array(list(itertools.product(range(3), repeat=3)), float)
+    yield np.zeros((6, 2))
+    yield np.concatenate([rng.normal(scale=1e-3, size=(14, 8)), rng.normal(size=(14, 8))])
+
+
+@pytest.mark.parametrize("x", list(clouds_of_all_kinds()), ids=lambda x: "x".join(map(str, x.shape)))
+def test_clouds_by_rows(x):
+    """Diagrams from rows of distances are those of the whole matrix."""
+    from tidegraph.operators.clouds import cloud_diagram
+
+    d = topology.scaled(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)))
+    found = cloud_diagram(x)
+    loops = np.array(reduction(d)).reshape(-1, 2)
+    assert found[1].shape == loops.shape and np.allclose(found[1], loops)
+    assert np.allclose(found[0][:, 1], np.sort(homology.spanning_forest(d)[1])) and len(found[0]) == len(x) - 1
+
+
+def test_clouds_of_many_points_in_little_memory():
+    """Before, several matrices of all pairs and a list of all edges were held at once."""
+    import tracemalloc
+
+    from tidegraph.operators.clouds import cloud_diagram
+
+    n = 4000
+    x = np.random.default_rng(3).random((n, 2))
+    tracemalloc.start()
+    found = cloud_diagram(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found[0]) == n - 1 and len(found[1]) > 500
+    assert peak < n * n * 8  # one matrix of distances
+
+
 @pytest.mark.parametrize("seed", range(15))
 def test_blocks_give_the_whole(seed):
     """Loops of a graph metric are those of its biconnected blocks."""
